@@ -30,7 +30,7 @@ from ..runtime import cut
 #: Where the public tokenizer's ranks lie; a parameter everywhere below.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Items of a shard, groups of equal cardinality, and the part of a capacity from which a length is large.
-SHARD, GROUPS, LARGE = 8192, 64, 0.1
+SHARD, GROUPS, LARGE = 8192, 600, 0.1
 
 
 @lru_cache(maxsize=2)

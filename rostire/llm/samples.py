@@ -71,9 +71,9 @@ def tilted(lam: np.ndarray, x: np.ndarray, base: float) -> np.ndarray:
     return np.minimum(1.0, base * np.exp(np.clip(x @ lam, -40, 40)))
 
 
-def features(masks: np.ndarray, free: list[int]) -> np.ndarray:
-    """A one for the size of the sample, then the memberships that are calibrated."""
-    return np.stack([np.ones(len(masks)), *(((masks >> k) & 1).astype(float) for k in free)], axis=1)
+def features(masks: np.ndarray, free: list[int], sized: bool) -> np.ndarray:
+    """A one for the size of the sample (else for records of no category), then the calibrated memberships."""
+    return np.stack([np.ones(len(masks)) if sized else (masks == 0).astype(float), *(((masks >> k) & 1).astype(float) for k in free)], axis=1)
 
 
 def calibrate(moments: Callable, goal: np.ndarray) -> np.ndarray:
@@ -99,11 +99,11 @@ def calibrate(moments: Callable, goal: np.ndarray) -> np.ndarray:
     return lam
 
 
-def _moments_of(patterns: DataFrame, plan: Plan, free: list[int], taken: int, base: float) -> Callable:
+def _moments_of(patterns: DataFrame, plan: Plan, free: list[int], taken: int, base: float, sized: bool) -> Callable:
     """Moments over the patterns that are not taken whole."""
 
     def of(masks: np.ndarray, n: np.ndarray, lam: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = features(masks, free)
+        x = features(masks, free, sized)
         p = tilted(lam, x, base)
         w = n * np.where(p < 1, p, 0.0)
         return (n * p) @ x, (x * w[:, None]).T @ x
@@ -211,18 +211,26 @@ def calibrated_sample(records: DataFrame, targets: DataFrame, fields: dict[str,
         free = [k for k in range(len(have)) if have[k] and k not in whole]
         size = total * p.sample / 1000
         base = min(1.0, max(p.sample / 1000, 1e-9))
-        expected, lam = np.minimum(goal, have).astype(float), np.zeros(len(free) + 1)
+        expected, lam, sized = np.minimum(goal, have).astype(float), np.zeros(len(free) + 1), True
         if total:
             # What the categories taken whole bring to the others counts against their goals.
             cross = patterns.where((F.col("plan") == p.name) & (F.col("mask").bitwiseAND(F.lit(taken).cast("long")) != 0))
             given = cross.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), *bit).first()
             rest = np.array([max(0.0, size - given["total"]), *(max(0.0, goal[k] - (given[f"b{k}"] or 0)) for k in free)])
-            moments = _moments_of(patterns, p, free, taken, base)
+            moments = _moments_of(patterns, p, free, taken, base, sized)
             lam = calibrate(moments, rest)
             got = moments(lam)[0]
+            if np.abs((rest - got) / np.maximum(1.0, rest)).max() > 1e-3:
+                # Size and shares contradict each other: the shares go first, the rest fills up.
+                sized = False
+                none = patterns.where((F.col("plan") == p.name) & (F.col("mask") == 0)).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+                rest[0] = min(float(none), max(0.0, rest[0] - rest[1:].sum()))
+                moments = _moments_of(patterns, p, free, taken, base, sized)
+                lam = calibrate(moments, rest)
+                got = moments(lam)[0]
             for j, k in enumerate(free):
                 expected[k] = (given[f"b{k}"] or 0) + got[j + 1]
-        inner = F.lit(float(lam[0]))
+        inner = F.when(F.lit(sized) | (F.col("mask") == 0), F.lit(float(lam[0]))).otherwise(F.lit(0.0))
         for j, k in enumerate(free):
             inner = inner + F.when(F.expr(f"(mask & {1 << k}L) <> 0"), F.lit(float(lam[j + 1]))).otherwise(F.lit(0.0))
         own = F.when(F.expr(f"(mask & {taken}L) <> 0"), F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.lit(base) * F.exp(F.greatest(F.lit(-40.0), F.least(F.lit(40.0), inner)))))
