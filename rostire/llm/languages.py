@@ -25,6 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .textform import SUSPECT, consistent
 
@@ -311,9 +312,9 @@ def document_languages(segs: DataFrame, share: float = SHARE) -> DataFrame:
     per = segs.groupBy("doc_id", "label", "lang").agg(
         F.sum("chars").alias("chars"), (F.sum(F.col("confidence") * F.col("chars")) / F.sum(F.greatest("chars", F.lit(1)))).alias("confidence")
     )
-    whole = per.groupBy("doc_id").agg(F.sum("chars").alias("whole"))
+    whole = F.sum("chars").over(Window.partitionBy("doc_id"))  # a row for each language of a document
     return (
-        per.join(whole, "doc_id")
+        per.withColumn("whole", whole)
         .where((F.col("chars") >= F.lit(share) * F.col("whole")) & (F.col("lang") != "und"))
         .select("doc_id", "label", "lang", (F.col("chars") / F.col("whole")).alias("part"), "confidence")
     )
@@ -321,6 +322,6 @@ def document_languages(segs: DataFrame, share: float = SHARE) -> DataFrame:
 
 def label_cases(langs: DataFrame) -> DataFrame:
     """Documents of several languages, or whose label is missing or none of theirs: ``doc_id, lang``."""
-    known = langs.groupBy("doc_id").agg(F.collect_set("lang").alias("langs"), F.max("label").alias("label"))
+    known = langs.groupBy("doc_id").agg(F.collect_set("lang").alias("langs"), F.max("label").alias("label"))  # at most 1 / SHARE languages
     case = known.where((F.size("langs") > 1) | F.col("label").isNull() | ~F.array_contains("langs", F.col("label")))
     return case.select("doc_id", F.explode("langs").alias("lang"))
