@@ -297,14 +297,16 @@ def train(labelled: list[tuple[str, list[tuple[int, int]]]]) -> Model:
 
 def fit_segmenter(df: DataFrame, key: str = "id", text: str = "text", bounds: str = "sentence_boundaries", rows: int = TRAIN_ROWS) -> Model:
     """Model fitted on at most ``rows`` labelled records of ``df``, in the order of a hash of their key."""
+    labelled = df.where(F.col(bounds).isNotNull() & F.col(text).isNotNull())
+    part = min(1.0, 1.2 * rows / max(1, labelled.count()))
+    h = F.xxhash64(F.col(key).cast("string"))
     picked = (
-        df.where(F.col(bounds).isNotNull() & F.col(text).isNotNull())
-        .select(F.xxhash64(F.col(key).cast("string")).alias("h"), F.col(text).alias("t"), F.transform(bounds, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("b"))
+        labelled.where(F.pmod(h, F.lit(1_000_003)) < F.lit(part * 1_000_003))
+        .select(h.alias("h"), F.col(text).alias("t"), F.transform(bounds, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("b"))
         .where(~F.exists("b", lambda x: x["start"].isNull() | x["end"].isNull()))
-        .orderBy("h", "t")
-        .limit(rows)
         .collect()
     )
+    picked = sorted(picked, key=lambda r: (r["h"], r["t"]))[:rows]
     return train([(r["t"], [(s["start"], s["end"]) for s in r["b"]]) for r in picked])
 
 
