@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -30,14 +31,22 @@ TOKEN = r"(?U)\w+(?:[-’']\w+)*|[^\w\s]"
 _HIDDEN = ("", ".!?…")
 
 
-def regex_map(col: Column, pattern: str, fn: Callable[[Column], Column]) -> Column:
-    """Replace every match by ``fn(match)``; a null result leaves the match as it is.
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` with ``value`` computed once, however often and in whatever lambda it is used.
 
-    ``col`` is used twice, so give every pass a column of its own.
+    A column that a lambda captures is otherwise inlined and computed anew for every element.
     """
-    kept = F.split(col, pattern, -1)
-    found = F.transform(F.regexp_extract_all(col, F.lit(pattern), F.lit(0)), lambda m: F.coalesce(fn(m), m))
-    return F.array_join(F.zip_with(kept, found, lambda t, m: F.concat(F.coalesce(t, F.lit("")), F.coalesce(m, F.lit("")))), "")
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
+def regex_map(col: Column, pattern: str, fn: Callable[[Column], Column]) -> Column:
+    """Replace every match by ``fn(match)``; a null result leaves the match as it is."""
+
+    def run(c: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), lambda m: F.coalesce(fn(m), m))
+        return F.array_join(F.zip_with(F.split(c, pattern, -1), found, lambda t, m: F.concat(F.coalesce(t, F.lit("")), F.coalesce(m, F.lit("")))), "")
+
+    return let(col, run)
 
 
 @F.pandas_udf(T.StringType())
@@ -140,7 +149,7 @@ def detokenize(tokens: Column, space_after: Column) -> Column:
 def contains_any(col: Column, markers: list[str]) -> Column:
     """Whether any marker stands in the text as a substring, letter case aside."""
     low = F.lower(col)
-    return F.exists(F.lit(markers), lambda m: F.contains(low, m))
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(m)) for m in markers], F.lit(False))
 
 
 def paragraph_starts(col: Column) -> Column:

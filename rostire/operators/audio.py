@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _seconds(b: bytes | None) -> float | None:
@@ -25,7 +26,7 @@ def _seconds(b: bytes | None) -> float | None:
         return None
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def wav_seconds(content: pd.Series) -> pd.Series:
     """Length of a WAV file in seconds; null if it cannot be read (29)."""
     return content.map(_seconds)

@@ -46,8 +46,7 @@ def each(df: DataFrame, fn) -> DataFrame:
 # clean, sentences, normalized
 
 
-@F.pandas_udf(f"array<{S.struct(S.TRACE)}>")
-def _clean_trace(s: pd.Series) -> pd.Series:
+def _clean_edits(s: pd.Series) -> pd.Series:
     import re
     import unicodedata
 
@@ -77,7 +76,8 @@ def _clean_trace(s: pd.Series) -> pd.Series:
 def clean(df: DataFrame, config: dict) -> DataFrame:
     """``clean_text`` and its trace (38 to 42)."""
     df = df.withColumn("clean_text", X.clean(F.col("original_text")))
-    trace = _clean_trace(F.when(F.col("clean_text") != F.col("original_text"), F.col("original_text")))
+    edits = F.pandas_udf(_clean_edits, f"array<{S.struct(S.TRACE)}>")
+    trace = edits(F.when(F.col("clean_text") != F.col("original_text"), F.col("original_text")))
     return df.withColumn("trace", F.coalesce(trace, F.expr(f"cast(array() as array<{S.struct(S.TRACE)}>)")))
 
 
@@ -264,22 +264,28 @@ def ranked(distribution: Column) -> Column:
 
 def decide_label(distribution: Column) -> Column:
     """``struct<label,confidence,secondary_label>``: a tie or less than 0.40 decides nothing (83)."""
-    r = ranked(distribution)
-    top, second = -F.get(r, F.lit(0))["v"], F.coalesce(-F.get(r, F.lit(1))["v"], F.lit(0.0))
-    none = F.coalesce(top, F.lit(0.0)) <= 0
-    return F.struct(
-        F.when(none | (top == second) | (top < 0.40), "unspecified").otherwise(F.get(r, F.lit(0))["k"]).alias("label"),
-        F.when(none, 0.0).otherwise(top).alias("confidence"),
-        F.when(~none & (second >= 0.5 * top), F.get(r, F.lit(1))["k"]).alias("secondary_label"),
-    )
+
+    def decide(r: Column) -> Column:
+        top, second = -F.get(r, F.lit(0))["v"], F.coalesce(-F.get(r, F.lit(1))["v"], F.lit(0.0))
+        none = F.coalesce(top, F.lit(0.0)) <= 0
+        return F.struct(
+            F.when(none | (top == second) | (top < 0.40), "unspecified").otherwise(F.get(r, F.lit(0))["k"]).alias("label"),
+            F.when(none, 0.0).otherwise(top).alias("confidence"),
+            F.when(~none & (second >= 0.5 * top), F.get(r, F.lit(1))["k"]).alias("secondary_label"),
+        )
+
+    return X.let(ranked(distribution), decide)
 
 
 def weighted(distribution: Column, axis: int) -> Column:
     """Mean valence (0) or arousal (1) of the labels; null for an empty distribution (84)."""
     proto = _map({k: v[axis] for k, v in L.PROTOTYPES.items()})
-    e = F.map_entries(distribution)
-    total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x["value"])
-    return F.when(total > 0, F.aggregate(e, F.lit(0.0), lambda a, x: a + x["value"] * F.try_element_at(proto, x["key"])) / total)
+
+    def mean(e: Column) -> Column:
+        total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x["value"])
+        return F.when(total > 0, F.aggregate(e, F.lit(0.0), lambda a, x: a + x["value"] * F.try_element_at(proto, x["key"])) / total)
+
+    return X.let(F.map_entries(distribution), mean)
 
 
 def shouted(text: Column) -> Column:
@@ -326,12 +332,25 @@ def focus_tokens(toks: Column, intensifiers: dict | None = None, emotive: list[s
     """Tokens with focus score and rules (88 to 96); rules apply from left to right."""
     strong = F.lit(sorted(intensifiers if intensifiers is not None else L.INTENSIFIERS))
     key = lambda t: F.lower(F.coalesce(t["lemma"], t["text"]))
-    keys = F.transform(toks, lambda t: F.when(t["upos"] != "PUNCT", key(t)))
-    neg = F.array_position(F.transform(toks, lambda t: F.coalesce(F.try_element_at(t["feats"], F.lit("Polarity")) == "Neg", F.lit(False))), True)
-    ci = F.array_min(F.filter(F.transform(keys, lambda k, i: F.when((k == "ci") & (i + 1 > neg), i + 1)), lambda x: x.isNotNull()))
-    root = F.array_position(F.transform(toks, lambda t: F.coalesce((t["deprel"] == "root") & (t["upos"] == "VERB"), F.lit(False))), True)
 
-    def one(t: Column, i: Column) -> Column:
+    def bound(toks: Column) -> Column:
+        keys = F.transform(toks, lambda t: F.when(t["upos"] != "PUNCT", key(t)))
+        neg = F.array_position(F.transform(toks, lambda t: F.coalesce(F.try_element_at(t["feats"], F.lit("Polarity")) == "Neg", F.lit(False))), True)
+        root = F.array_position(F.transform(toks, lambda t: F.coalesce((t["deprel"] == "root") & (t["upos"] == "VERB"), F.lit(False))), True)
+        first = X.let(F.struct(toks.alias("toks"), keys.alias("keys"), neg.alias("neg"), root.alias("root")), lambda v: F.struct(v["toks"].alias("toks"), v["keys"].alias("keys"), v["neg"].alias("neg"), v["root"].alias("root"), ci_of(v).alias("ci")))
+        return X.let(first, close_all)
+
+    def ci_of(v: Column) -> Column:
+        return F.array_min(F.filter(F.transform(v["keys"], lambda k, i: F.when((k == "ci") & (i + 1 > v["neg"]), i + 1)), lambda x: x.isNotNull()))
+
+    def scored_of(v: Column) -> Column:
+        return F.transform(v["toks"], lambda t, i: one(v, t, i))
+
+    def close_all(v: Column) -> Column:
+        return F.zip_with(v["toks"], scored_of(v), close)
+
+    def one(v: Column, t: Column, i: Column) -> Column:
+        toks, keys, neg, root, ci = (v[n] for n in ("toks", "keys", "neg", "root", "ci"))
         before = lambda n: F.when(i >= n, key(F.get(toks, i - n)))
         content = ~t["upos"].isin(FUNCTION_UPOS)
         steps: list[tuple[str, Column, str]] = [
@@ -344,7 +363,7 @@ def focus_tokens(toks: Column, intensifiers: dict | None = None, emotive: list[s
             ("main_predicate", (root > 0) & (i + 1 == root), "+0.15"),
         ]
         on = [F.coalesce(c, F.lit(False)) for _, c, _ in steps]
-        score, at = F.lit(0.0), F.transform(F.array(*on), lambda c: c)
+        at = F.array(*on)
         sums = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("k"))
         factor = F.lit([float(x[1:]) for _, _, x in steps])
         score = F.aggregate(
@@ -357,8 +376,6 @@ def focus_tokens(toks: Column, intensifiers: dict | None = None, emotive: list[s
         names = F.filter(F.zip_with(at, F.lit([n for n, _, _ in steps]), lambda c, n: F.when(c, n)), lambda n: n.isNotNull())
         return F.struct(score.alias("raw"), names.alias("names"))
 
-    scored = F.transform(toks, one)
-
     def close(t: Column, r: Column) -> Column:
         weak = t["upos"].isin(FUNCTION_UPOS) & (r["raw"] < 0.8)
         score = F.when(weak, 0.0).otherwise(F.least(F.lit(1.0), r["raw"]))
@@ -372,7 +389,7 @@ def focus_tokens(toks: Column, intensifiers: dict | None = None, emotive: list[s
         )
         return F.when(t["upos"] == "PUNCT", t).otherwise(full)
 
-    return F.zip_with(toks, scored, close)
+    return bound(toks)
 
 
 def focus(df: DataFrame, config: dict) -> DataFrame:
@@ -431,9 +448,10 @@ def prosody(df: DataFrame, config: dict) -> DataFrame:
 
     def one(s: Column) -> Column:
         arousal = s["emotion"]["arousal"] if "emotion" in fields else _null("double")
-        rate, pitch, energy = rates(arousal)
+        _, pitch, energy = rates(arousal)
         long = F.size(F.filter(s["tokens"], lambda t: t["upos"] != "PUNCT")) > 15
-        return s.withField("tokens", F.transform(s["tokens"], lambda t: token(t, long, pitch, energy)))
+        known = F.struct(long.alias("long"), pitch.alias("pitch"), energy.alias("energy"), s["tokens"].alias("tokens"))
+        return s.withField("tokens", X.let(known, lambda v: F.transform(v["tokens"], lambda t: token(t, v["long"], v["pitch"], v["energy"]))))
 
     df = each(df, one)
 
@@ -466,14 +484,23 @@ def has_interjection(toks: Column, words: list[str] | None = None) -> Column:
 
 def document_style(sents: Column, markers: list[str] | None = None) -> Column:
     """``struct<style,score>``: a marker decides, else three weak signs together (106)."""
-    n = F.size(sents)
-    content = F.aggregate(sents, F.lit(0), lambda a, s: a + F.size(F.filter(s["tokens"], lambda t: t["upos"] != "PUNCT")))
-    person = F.exists(sents, lambda s: F.exists(s["tokens"], lambda t: F.coalesce(F.try_element_at(t["feats"], F.lit("Person")).isin("1", "2"), F.lit(False))))
-    weak = (content / n > 12).cast("int") + (~person).cast("int") + (~F.exists(sents, lambda s: has_interjection(s["tokens"]))).cast("int")
-    full = F.array_join(F.transform(sents, lambda s: F.coalesce(s["normalized"], s["text"])), " ")
-    hit = X.contains_any(full, markers if markers is not None else L.FORMAL_MARKERS)
-    formal = F.when(F.coalesce(n, F.lit(0)) <= 0, F.lit(False)).otherwise(hit | (weak == 3))
-    return F.struct(F.when(formal, "formal").otherwise("conversational").alias("style"), F.when(F.coalesce(n, F.lit(0)) <= 0, 0.0).when(hit, 1.0).otherwise(weak / 3).alias("score"))
+    own = markers if markers is not None else L.FORMAL_MARKERS
+
+    def style(sents: Column) -> Column:
+        n = F.size(sents)
+        content = F.aggregate(sents, F.lit(0), lambda a, s: a + F.size(F.filter(s["tokens"], lambda t: t["upos"] != "PUNCT")))
+        person = F.exists(sents, lambda s: F.exists(s["tokens"], lambda t: F.coalesce(F.try_element_at(t["feats"], F.lit("Person")).isin("1", "2"), F.lit(False))))
+        full = F.lower(F.array_join(F.transform(sents, lambda s: F.coalesce(s["normalized"], s["text"])), " "))
+        weak = F.when(n > 0, (content / n > 12).cast("int")).otherwise(0) + (~person).cast("int") + (~F.exists(sents, lambda s: has_interjection(s["tokens"]))).cast("int")
+        facts = F.struct(n.alias("n"), weak.alias("weak"), X.let(full, lambda t: X.contains_any(t, own)).alias("hit"))
+        return X.let(facts, verdict)
+
+    def verdict(v: Column) -> Column:
+        some = F.coalesce(v["n"], F.lit(0)) > 0
+        formal = some & (v["hit"] | (v["weak"] == 3))
+        return F.struct(F.when(formal, "formal").otherwise("conversational").alias("style"), F.when(~some, 0.0).when(v["hit"], 1.0).otherwise(v["weak"] / 3).alias("score"))
+
+    return X.let(sents, style)
 
 
 def candidates(label: str, words: list | None = None, most: int = 2) -> list[tuple[str, float]]:
@@ -489,7 +516,7 @@ def interjections(df: DataFrame, config: dict) -> DataFrame:
     df = df.withColumn("document_style", F.col("_style.style"))
     none = F.expr(f"cast(array() as array<{S.struct(S.SUGGESTION)}>)")
 
-    def one(s: Column) -> Column:
+    def one(s: Column, style: Column) -> Column:
         e = s["emotion"]
         offer = none
         for label in L.LABELS:
@@ -500,13 +527,16 @@ def interjections(df: DataFrame, config: dict) -> DataFrame:
                     for w, x in own
                 ])
                 offer = F.when(e["label"] == label, rows).otherwise(offer)
-        allowed = F.lit(mode != "disabled") & (F.col("document_style") != "formal") & ~has_interjection(s["tokens"]) & (e["confidence"] >= 0.6)
-        out = F.when(F.coalesce(allowed, F.lit(False)), offer).otherwise(none)
+        allowed = F.lit(mode != "disabled") & (style != "formal") & ~has_interjection(s["tokens"]) & (e["confidence"] >= 0.6)
         text = F.coalesce(s["normalized"], s["text"])
+        return X.let(F.when(F.coalesce(allowed, F.lit(False)), offer).otherwise(none), lambda out: fill(s, text, out))
+
+    def fill(s: Column, text: Column, out: Column) -> Column:
         put = F.concat(F.get(out, F.lit(0))["text"], F.lit(", "), F.lower(F.left(text, F.lit(1))), F.substring(text, 2, 1 << 30)) if mode == "insert" else _null("string")
         return s.withField("interjection_suggestions", out).withField("text_with_interjections", F.when(F.size(out) > 0, put))
 
-    return each(df, one).drop("_style")
+    both = F.struct("sentences", "document_style")
+    return df.withColumn("sentences", X.let(both, lambda v: F.transform(v["sentences"], lambda s: one(s, v["document_style"])))).drop("_style")
 
 
 # context
@@ -523,44 +553,53 @@ def blend(current: Column, previous: Column, alpha: Column | float, beta: Column
     """Renormalised mix of two distributions over the union of their labels (112)."""
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     mix = F.map_zip_with(current, previous, lambda k, a, b: F.lit(alpha) * zero(a) + beta * zero(b))
-    total = F.aggregate(F.map_values(mix), F.lit(0.0), lambda a, v: a + v)
-    return F.when(total > 0, F.transform_values(mix, lambda k, v: v / total)).otherwise(current)
+    total = lambda m: F.aggregate(F.map_values(m), F.lit(0.0), lambda a, v: a + v)
+    both = X.let(mix, lambda m: F.struct(m.alias("m"), total(m).alias("t")))
+    return _scaled(both, current)
+
+
+def _scaled(both: Column, current: Column) -> Column:
+    scaled = X.let(both, lambda v: F.when(v["t"] > 0, F.transform_values(v["m"], lambda k, x: x / v["t"])))
+    return F.coalesce(scaled, current)
 
 
 def adjust(cur: Column, prev: Column, category: Column, alpha: float = 0.7, beta: float = 0.3, skip: float = 0.75, smooth: float = 0.5) -> Column:
     """Smoothed emotion of a sentence given that of the one before, which may be null (113)."""
     b = F.when(category == "contrast", 0.0).when(category == "consequence", min(1 - alpha, beta * 1.5)).otherwise(beta)
     dist = lambda e: F.when(F.size(e["distribution"]) > 0, e["distribution"]).otherwise(F.create_map(e["label"], F.lit(1.0)))
-    mixed = blend(dist(cur), dist(prev), alpha, b)
-    top = F.get(ranked(mixed), F.lit(0))
-    alone = (cur["confidence"] >= skip) | prev.isNull()
-    still = alone | (b <= 0)
-    label = F.when(still, cur["label"]).otherwise(top["k"])
-    sure = F.when(still, cur["confidence"]).otherwise(F.round(-top["v"], 3))
-    new_label = label != cur["label"]
-    new_level = ~alone & (cur["confidence"] < smooth) & (prev["intensity"] != cur["intensity"])
-    marker = F.when(category.isNotNull(), F.concat(F.lit("discourse_marker:"), category))
-    reason = F.concat_ws(";", F.when(new_label | new_level, marker), F.when(new_label, F.concat(F.lit("context_blend:"), cur["label"], F.lit("->"), label)), F.when(new_level, "intensity_smoothed"))
-    return F.when(
-        cur.isNotNull(),
-        F.struct(
-            label.alias("label"), sure.alias("confidence"), cur["valence"].alias("valence"), cur["arousal"].alias("arousal"), F.when(new_level, prev["intensity"]).otherwise(cur["intensity"]).alias("intensity"),
-            (new_label | new_level).alias("changed"), F.when(new_label | new_level, reason).alias("reason"), F.lit("rostire_context_1").alias("producer"),
-        ).cast(S.struct(S.CONTEXT)),
+    still = (cur["confidence"] >= skip) | prev.isNull() | (b <= 0)
+    mixed = F.when(~still, F.get(ranked(blend(dist(cur), dist(prev), alpha, b)), F.lit(0)))
+    facts = F.struct(
+        cur.alias("cur"), prev.alias("prev"), F.coalesce(mixed["k"], cur["label"]).alias("label"), F.coalesce(F.round(-mixed["v"], 3), cur["confidence"]).alias("sure"),
+        F.coalesce((cur["confidence"] < skip) & (cur["confidence"] < smooth) & (prev["intensity"] != cur["intensity"]), F.lit(False)).alias("level"), F.concat(F.lit("discourse_marker:"), category).alias("marker"),
     )
 
+    def close(v: Column) -> Column:
+        cur, new_label = v["cur"], v["label"] != v["cur"]["label"]
+        changed = new_label | v["level"]
+        reason = F.concat_ws(";", F.when(changed, v["marker"]), F.when(new_label, F.concat(F.lit("context_blend:"), cur["label"], F.lit("->"), v["label"])), F.when(v["level"], "intensity_smoothed"))
+        return F.when(
+            cur.isNotNull(),
+            F.struct(
+                v["label"].alias("label"), v["sure"].alias("confidence"), cur["valence"].alias("valence"), cur["arousal"].alias("arousal"), F.when(v["level"], v["prev"]["intensity"]).otherwise(cur["intensity"]).alias("intensity"),
+                changed.alias("changed"), F.when(changed, reason).alias("reason"), F.lit("rostire_context_1").alias("producer"),
+            ).cast(S.struct(S.CONTEXT)),
+        )
+
+    return X.let(facts, close)
+
 
 def context(df: DataFrame, config: dict) -> DataFrame:
     """Smoothing against the local emotion of the sentence before, anew in each paragraph (110 to 114)."""
     k = {n: config[f"context_{n}"] for n in ("alpha", "beta", "skip", "smooth") if f"context_{n}" in config}
-    df = df.withColumn("_starts", X.paragraph_starts(F.col("original_text"))).withColumn("_emo", F.transform("sentences", lambda s: s["emotion"]))
+    facts = F.struct("sentences", X.paragraph_starts(F.col("original_text")).alias("starts"))
 
-    def one(s: Column, i: Column) -> Column:
-        fresh = (i == 0) | F.array_contains("_starts", i)
-        prev = F.when(~fresh, F.get("_emo", i - 1))
+    def one(v: Column, s: Column, i: Column) -> Column:
+        fresh = (i == 0) | F.array_contains(v["starts"], i)
+        prev = F.when(~fresh, F.get(v["sentences"], i - 1)["emotion"])
         return s.withField("context_emotion", adjust(s["emotion"], prev, discourse(s["tokens"], config.get("discourse_markers")), **k))
 
-    return df.withColumn("sentences", F.transform("sentences", one)).drop("_starts", "_emo")
+    return df.withColumn("sentences", X.let(facts, lambda v: F.transform(v["sentences"], lambda s, i: one(v, s, i))))
 
 
 def default_registry() -> Registry:

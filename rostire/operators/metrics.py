@@ -17,7 +17,7 @@ def confusion(df: DataFrame, gold: str, predicted: str) -> DataFrame:
 
 def confusion_matrix(df: DataFrame, gold: str, predicted: str, labels: list[str]) -> DataFrame:
     """One row a gold label, one column a predicted one (140)."""
-    return df.groupBy(F.col(gold).alias("gold")).pivot(predicted, labels).agg(F.count("*")).na.fill(0)
+    return df.groupBy(F.col(gold).alias("gold")).pivot(predicted, labels).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def label_scores(df: DataFrame, gold: str, predicted: str, labels: list[str] | None = None) -> DataFrame:
