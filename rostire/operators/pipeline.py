@@ -36,7 +36,8 @@ def load_config(source: str | dict) -> dict:
                 source = yaml.safe_load(f) or {}
     body = {**source, **source["processing"]} if isinstance(source.get("processing"), dict) else dict(source)
     body.pop("processing", None)
-    body["include"] = [x for x in body.get("include") or [] if x not in set(body.pop("exclude", None) or [])]
+    out = set(body.pop("exclude", None) or [])
+    body["include"] = [x for x in body.get("include") or [] if x not in out]
     return body
 
 
