@@ -11,7 +11,7 @@ from ..functions import numbers as N
 from ..functions import text as X
 from ..operators import audio, corpus, layers, lexicon, metrics, serializers
 from ..operators.pipeline import PROFILES, Pipeline, process
-from ..runtime import cut, table
+from ..runtime import cut, shuffle_width, table
 from ..sources import readers, sinks
 from ..streaming import documents as streams
 from . import sqlwords as W
@@ -48,6 +48,20 @@ def _ev(spark: SparkSession, sf: str, *cols: str) -> DataFrame:
     return table(spark, sf, "evaluation_example").select("id", *[c for c in cols if c != "id"]).distinct()
 
 
+def _once(df: DataFrame, key: str) -> DataFrame:
+    """Each delivered key once, in one shuffle as wide as the session asks for.
+
+    The width is explicit, because rows that are small now become heavy in the layers.
+    """
+    return df.repartition(shuffle_width(df.sparkSession), key).dropDuplicates([key])
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores if a scan of one small file would leave most of them idle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def _list(words: list[str]) -> str:
     return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
 
@@ -70,7 +84,7 @@ def layer_plan(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def sentence_type_mix(spark: SparkSession, sf: str) -> DataFrame:
     """Sentences of all documents by label and punctuation type: clean, segment, explode, count (flagship)."""
-    docs = table(spark, sf, "documents").select("lang", X.clean(F.col("text")).alias("c"))
+    docs = _spread(table(spark, sf, "documents").select("lang", "text")).select("lang", X.clean(F.col("text")).alias("c"))
     each = docs.select(F.lower(F.trim("lang")).alias("lang"), F.explode(X.segment(F.col("c"))).alias("s"))
     return each.select("lang", X.punctuation_type(F.col("s.text")).alias("sentence_type")).groupBy("lang", "sentence_type").agg(F.count("*").alias("n"))
 
@@ -78,14 +92,14 @@ def sentence_type_mix(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def annotate_expressive(spark: SparkSession, sf: str) -> DataFrame:
     """All utterances through the expressive profile (6, 7), as canonical JSON of prosody and focus counts."""
-    out = process(table(spark, sf, "utterance").select("utt_id", "text").distinct(), "expressive", id_col="utt_id")
+    out = process(_once(table(spark, sf, "utterance").select("utt_id", "text"), "utt_id"), "expressive", id_col="utt_id")
     return out.select("id", F.size("sentences").alias("sentences"), F.to_json(F.transform("sentences", lambda s: s["prosody"])).alias("prosody"), F.aggregate("sentences", F.lit(0), lambda a, s: a + F.size(F.filter(s["tokens"], lambda t: F.coalesce(t["is_focus"], F.lit(False))))).alias("focused"))
 
 
 @query()
 def annotate_pronunciation(spark: SparkSession, sf: str) -> DataFrame:
     """All utterances through the pronunciation profile (71 to 79)."""
-    out = process(table(spark, sf, "utterance").select("utt_id", "text").distinct(), "pronunciation", id_col="utt_id")
+    out = process(_once(table(spark, sf, "utterance").select("utt_id", "text"), "utt_id"), "pronunciation", id_col="utt_id")
     stressed = F.flatten(F.transform("sentences", lambda s: F.transform(F.filter(s["tokens"], lambda t: t["upos"] != "PUNCT"), lambda t: F.concat(F.array_join(t["syllables"], "-"), F.lit(":"), t["stressed_syllable_index"].cast("string")))))
     return out.select("id", "phoneme_text", F.array_join(stressed, " ").alias("syllables"))
 
@@ -93,7 +107,7 @@ def annotate_pronunciation(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def annotate_full(spark: SparkSession, sf: str) -> DataFrame:
     """Documents through every layer, serialized as control tokens (66, 101 to 118)."""
-    out = Pipeline({"include": ["context", "interjections", "prosody", "focus", "lexical_stress"]}).process(table(spark, sf, "documents").where("lower(trim(lang)) LIKE 'ro%'"), "text", "doc_id", serialize=True)
+    out = Pipeline({"include": ["context", "interjections", "prosody", "focus", "lexical_stress"]}).process(_spread(table(spark, sf, "documents").select("doc_id", "text")), "text", "doc_id", serialize=True)
     return out.select("id", "document_style", "tts_token_text", F.size("trace").alias("edits"))
 
 
@@ -144,7 +158,7 @@ def clean_trace(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def segment_sentences(spark: SparkSession, sf: str) -> DataFrame:
     """Sentences of every document with offsets into the clean text (43 to 45)."""
-    docs = table(spark, sf, "documents").select("doc_id", X.clean(F.col("text")).alias("c"))
+    docs = _spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", X.clean(F.col("text")).alias("c"))
     return docs.select("doc_id", F.posexplode(X.segment(F.col("c"))).alias("place", "s")).select("doc_id", "place", "s.text", "s.start", "s.end")
 
 
@@ -238,14 +252,14 @@ def normalized_orders(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders")
     k = (F.col("o_orderkey") % 97).cast("string")
     text = F.concat(F.lit("Costă "), F.floor("o_totalprice").cast("string"), F.lit(" lei pe "), F.date_format("o_orderdate", "d.MM.yyyy"), F.lit(", adică "), k, F.lit("% din "), k, F.lit(" kg."))
-    out = process(o.select("o_orderkey", text.alias("text")), "normalize_only", id_col="o_orderkey")
+    out = process(_spread(o.select("o_orderkey", text.alias("text"))), "normalize_only", id_col="o_orderkey")
     return out.select(F.col("id").cast("long").alias("o_orderkey"), "normalized_text")
 
 
 @query()
 def normalized_corpus(spark: SparkSession, sf: str) -> DataFrame:
     """Spoken form of every evaluation row with its number of edits and errors (49 to 58)."""
-    out = process(_ev(spark, sf, "text"), "normalize_only", id_col="id")
+    out = process(_once(table(spark, sf, "evaluation_example").select("id", "text"), "id"), "normalize_only", id_col="id")
     return out.select("id", "normalized_text", F.size("trace").alias("edits"), F.size("errors").alias("failed"))
 
 
@@ -270,14 +284,14 @@ def feature_maps(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def token_tags(spark: SparkSession, sf: str) -> DataFrame:
     """Tags of all utterance tokens (64, 66, 68)."""
-    toks = table(spark, sf, "utterance").select("utt_id", "text").distinct().select(F.explode(layers.rule_tokens(F.col("text"))).alias("t"))
+    toks = _once(table(spark, sf, "utterance").select("utt_id", "text"), "utt_id").select(F.explode(layers.rule_tokens(F.col("text"))).alias("t"))
     return toks.groupBy("t.upos", F.col("t.is_interjection").alias("is_interjection")).agg(F.count("*").alias("n"))
 
 
 @query()
 def sentence_features(spark: SparkSession, sf: str) -> DataFrame:
     """Sentence type and negation of all utterances (69, 70)."""
-    out = process(table(spark, sf, "utterance").select("utt_id", "text").distinct(), {"include": ["tokens"]}, id_col="utt_id")
+    out = process(_once(table(spark, sf, "utterance").select("utt_id", "text"), "utt_id"), {"include": ["tokens"]}, id_col="utt_id")
     return out.select(F.explode("sentences").alias("s")).groupBy("s.sentence_type", "s.is_negated").agg(F.count("*").alias("n"))
 
 
@@ -351,7 +365,7 @@ def prosody_values(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def focus_scores(spark: SparkSession, sf: str) -> DataFrame:
     """How often each focus rule fires over all utterances (88 to 95)."""
-    toks = table(spark, sf, "utterance").select("utt_id", "text").distinct().withColumn("tokens", layers.rule_tokens(F.col("text")))
+    toks = _once(table(spark, sf, "utterance").select("utt_id", "text"), "utt_id").withColumn("tokens", layers.rule_tokens(F.col("text")))
     scored = toks.select(F.explode(layers.focus_tokens(F.col("tokens"))).alias("t"))
     return scored.select(F.explode("t.focus_rules").alias("rule"), "t.focus_score").groupBy("rule").agg(F.count("*").alias("n"), F.round(F.avg("focus_score"), 4).alias("score"))
 
@@ -401,7 +415,7 @@ def turn_blend(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT category, count(*) AS n FROM (SELECT CASE WHEN w IN ('dar', 'însă', 'totuși', 'ci') THEN 'contrast' WHEN w IN ('deci', 'așadar', 'astfel') THEN 'consequence' END AS category FROM (SELECT lower(regexp_extract(text, '[\\pL\\pN_]+(?:[-’''][\\pL\\pN_]+)*')) AS w FROM (SELECT DISTINCT utt_id, text FROM utterance))) GROUP BY 1""")
 def discourse_openings(spark: SparkSession, sf: str) -> DataFrame:
     """Utterances by the discourse marker they open with (111)."""
-    rows = table(spark, sf, "utterance").select("utt_id", "text").distinct().select(layers.discourse(layers.rule_tokens(F.col("text"))).alias("category"))
+    rows = _once(table(spark, sf, "utterance").select("utt_id", "text"), "utt_id").select(layers.discourse(layers.rule_tokens(F.col("text"))).alias("category"))
     return rows.groupBy("category").agg(F.count("*").alias("n"))
 
 
