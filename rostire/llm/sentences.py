@@ -240,7 +240,7 @@ def _fit(rows: list[tuple[list[list[str]], list[int]]], epochs: int = EPOCHS) ->
             x.append([index[k] for k in f if k in index])
             y.append(t)
     if not index or not any(y):
-        return Model(dict(PRIOR), [[0.0, 0.0], [0.0, -2.0]])
+        return Model(dict(PRIOR), [[0.0, 0.0], [0.0, 0.0]])
     width = max(map(len, x))
     none = len(index)
     m = np.full((len(x), width), none, dtype=np.int32)
