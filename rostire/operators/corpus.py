@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import contains_any, dedup_key
+from ..runtime import cut
 from .layers import unknown_symbols
 
 
@@ -100,7 +101,7 @@ def stratified_cap(df: DataFrame, label: str, key: str, most: int = 30, seed: in
     return part.withColumn("_n", F.row_number().over(Window.partitionBy(label).orderBy("_r", key))).where(F.col("_n") <= most).drop("_r", "_s", "_n")
 
 
-def numbered(df: DataFrame, order: list[str], partition: list[str] | None = None, salt: int = 1024) -> DataFrame:
+def numbered(df: DataFrame, order: list[str], partition: list[str] | None = None) -> DataFrame:
     """``df`` with ``rn`` (1-based rank) and ``total`` in each partition, without ranking it in one task.
 
     Ranks come from range buckets: a rank is the rows in the buckets before plus the rank inside.
@@ -108,8 +109,6 @@ def numbered(df: DataFrame, order: list[str], partition: list[str] | None = None
     part = partition or []
     ranged = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
     # The bucket of a row must not change between uses, so it is written with the row.
-    from ..runtime import cut
-
     ranged = cut(ranged, "ranged")
     sizes = ranged.groupBy(*part, "_p").agg(F.count("*").alias("_c"))
     w = Window.partitionBy(*part)

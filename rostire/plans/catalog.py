@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import numbers as N
 from ..functions import text as X
 from ..operators import audio, corpus, layers, lexicon, metrics, serializers
 from ..operators.pipeline import PROFILES, Pipeline, process
-from ..runtime import cut, shuffle_width, table
+from ..runtime import cut, shared_dir, shuffle_width, table
 from ..sources import readers, sinks
 from ..streaming import documents as streams
 from . import sqlwords as W
@@ -403,8 +406,6 @@ def context_smoothing(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT user_id, event_id, round(CASE WHEN p IS NULL THEN v ELSE (0.7 * v + 0.3 * p) END, 6) AS blended FROM (SELECT user_id, event_id, v, lag(v) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM (SELECT user_id, event_id, (event_id % 101) / 100.0 AS v FROM events))""")
 def turn_blend(spark: SparkSession, sf: str) -> DataFrame:
     """Each event's distribution blended with the user's one before (112, 114)."""
-    from pyspark.sql.window import Window
-
     v = (F.col("event_id") % 101) / 100
     rows = table(spark, sf, "events").select("user_id", "event_id", F.create_map(F.lit("happy"), v, F.lit("sad"), 1 - v).alias("d"))
     rows = rows.withColumn("p", F.lag("d").over(Window.partitionBy("user_id").orderBy("event_id")))
@@ -518,8 +519,8 @@ def agreed_labels(spark: SparkSession, sf: str) -> DataFrame:
     """Rows with exactly one agreed label (23)."""
     n = F.length("text") % 3
     flags = F.when(n == 1, F.array(F.lit(0), F.lit(1))).when(n == 2, F.array(F.lit(1), F.lit(1))).otherwise(F.array(F.lit(0), F.lit(0)))
-    raw = _ev(spark, sf, "text").select("id", F.concat_ws("\u0001", "text").alias("t"), "text", flags.alias("agreed_labels"), F.lit(["Trust", "Happy"]).alias("labels"), F.lit([0.2, 0.8]).alias("percents"))
-    kept = readers.redv2_rows(raw.withColumn("text", F.col("text")))
+    raw = _ev(spark, sf, "text").select("id", "text", flags.alias("agreed_labels"), F.lit(["Trust", "Happy"]).alias("labels"), F.lit([0.2, 0.8]).alias("percents"))
+    kept = readers.redv2_rows(raw)
     return raw.select("id", "text").join(kept.select("text", "emotion").distinct(), "text").select("id", "text", "emotion")
 
 
@@ -825,10 +826,6 @@ def finished_signals(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL")
 def streamed_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Events by day and type, counted as a stream until all of the table is done."""
-    from ..runtime import shared_dir
-
-    import uuid
-
     name = f"rostire_{uuid.uuid4().hex}"
     source = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "*.parquet").parquet(_folder(spark, sf, "events"))
     source = source.select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
@@ -840,15 +837,9 @@ def streamed_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def _folder(spark: SparkSession, sf: str, name: str) -> str:
     """A folder to stream a table from: the table's own, or a copy where it is a single file."""
-    import os
-
     path = f"{sf}/{name}.parquet"
     if os.path.isdir(path):
         return path
-    from ..runtime import shared_dir
-
-    import uuid
-
     copy = f"{shared_dir(spark).rstrip('/')}/source-{uuid.uuid4().hex}"
     spark.read.parquet(path).write.parquet(copy)
     return copy

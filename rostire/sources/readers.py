@@ -73,8 +73,7 @@ def file_listing(spark: SparkSession, root: str) -> DataFrame:
     """``path, length`` of all files under a folder, without reading them; paths relative to it."""
     base = F.lit("/" + str(Path(root).resolve()).strip("/") + "/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
-    clean = F.regexp_replace("path", "^file:/*", "/")
-    return files.select(F.expr("1").alias("one"), clean.alias("full"), "length").select(F.replace("full", base, F.lit("")).alias("path"), "length")
+    return files.select(F.replace(F.regexp_replace("path", "^file:/*", "/"), base, F.lit("")).alias("path"), "length")
 
 
 def resolve_suffix(rows: DataFrame, listing: DataFrame, stem: str, suffixes: list[str]) -> DataFrame:
@@ -97,7 +96,7 @@ def central_transcripts(lines: DataFrame) -> DataFrame:
     """``id, text`` of transcript lines ``file, line_no, value``: first separator of ``|``, tab, space; first id wins (14)."""
     sep = F.when(F.contains("value", F.lit("|")), "|").when(F.contains("value", F.lit("\t")), "\t").otherwise(" ")
     at = F.call_function("locate", sep, F.col("value"))
-    rows = lines.where((F.trim("value") != "") & (at > 0)).select(F.trim(F.expr("1").cast("string")).alias("_"), F.trim(F.substring("value", F.lit(1), at - 1)).alias("id"), F.trim(F.substring("value", at + 1, F.length("value"))).alias("text"), "file", "line_no")
+    rows = lines.where((F.trim("value") != "") & (at > 0)).select(F.trim(F.substring("value", F.lit(1), at - 1)).alias("id"), F.trim(F.substring("value", at + 1, F.length("value"))).alias("text"), "file", "line_no")
     first = F.row_number().over(Window.partitionBy("id").orderBy("file", "line_no"))
     return rows.withColumn("_n", first).where("_n = 1 AND id <> ''").select("id", "text")
 

@@ -1,3 +1,4 @@
+import uuid
 import wave
 
 import pytest
@@ -118,5 +119,5 @@ def test_stream(spark, tmp_path):
 
     spark.createDataFrame([("1", "Ora 9:00.")], "id string, text string").write.parquet(str(tmp_path / "in"))
     out = annotate_stream(spark.readStream.schema("id string, text string").parquet(str(tmp_path / "in")), "normalize_only", "text", "id").select("id", "normalized_text")
-    write_parquet_stream(out, str(tmp_path / "out"), tmp_path.name).awaitTermination()
+    write_parquet_stream(out, str(tmp_path / "out"), uuid.uuid4().hex).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).first()["normalized_text"] == "Ora nouă fix."
