@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import math
 import re
-import unicodedata as ud
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
