@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +39,9 @@ CHANGE, FULL = 5.0, 100
 SHARE = 0.15
 #: A segment is rejected below this part of the lowest usual similarity of its language.
 REJECT = 0.5
-#: Two labels whose centroids are this similar are one language under a rare wrong label and its own.
-SAME, RARE = 0.85, 0.34
+#: Two labels whose means are this similar (the second holds for fewer than FEW documents, whose mean is noisy) and
+#: of whose documents, all counted, one has less than this share of the other's are one language under a wrong label and its own.
+SAME, SAME_OF_FEW, FEW, RARE = 0.95, 0.85, 3, 0.34
 
 _END = re.compile(r"[.!?…।؟。！？\n]+(?:[^\w\s]*\s+|(?<=[।؟。！？])[^\w\s]*|$)")
 _THAI = re.compile(r"[฀-๿]")
@@ -144,16 +145,42 @@ def _cluster(m: np.ndarray, k: int) -> np.ndarray:
     return c
 
 
-def fit(docs: list[tuple[str, str]], rounds: int = 3) -> Centroids:
-    """Centroids from texts with labels, some of which are wrong."""
-    lists, labels = [], []
-    for lang, text in docs:
+def _one_language(m: np.ndarray, labels: np.ndarray, docs: np.ndarray, langs: list[str]) -> np.ndarray:
+    """Which pairs of labels stand on texts of the same language.
+
+    The squared length of a mean is taken over pairs of pieces of different documents, so that it does not depend
+    on how many were sampled; with fewer than FEW documents it is that of the mean itself.
+    """
+    means, sizes, few = [], [], []
+    for x in langs:
+        own = labels == x
+        _, of = np.unique(docs[own], return_inverse=True)
+        sums, n = np.zeros((of.max() + 1, m.shape[1])), np.bincount(of)
+        np.add.at(sums, of, m[own])
+        mean = sums.sum(0) / n.sum()
+        few.append(len(n) < FEW)
+        among = mean @ mean if few[-1] else ((mean @ mean) * n.sum() ** 2 - (sums * sums).sum()) / (n.sum() ** 2 - (n * n).sum())
+        means.append(mean)
+        sizes.append(np.sqrt(max(among, 1e-9)))
+    alike = np.stack(means) @ np.stack(means).T / np.outer(sizes, sizes)
+    return alike > np.where(np.logical_or.outer(few, few), SAME_OF_FEW, SAME)
+
+
+def fit(docs: list[tuple[str, str]], rounds: int = 3, counts: dict[str, int] | None = None) -> Centroids:
+    """Centroids from texts with labels, some of which are wrong.
+
+    ``counts`` are the documents of each label where ``docs`` are only a sample of them.
+    """
+    counts = counts or Counter(lang for lang, _ in docs)
+    lists, labels, source = [], [], []
+    for k, (lang, text) in enumerate(docs):
         n = 0
         for a, b in pieces(text):
             ws = words(text[a:b])
             if sum(map(len, ws)) >= 12:
                 lists.append(ws)
                 labels.append(lang)
+                source.append(k)
                 n += 1
             if n == PIECES:
                 break
@@ -164,7 +191,7 @@ def fit(docs: list[tuple[str, str]], rounds: int = 3) -> Centroids:
         df[list({g for w in ws for g in grams(w)})] += 1
     idf = np.log((1 + len(lists)) / (1 + df)) + 0.3
     m = np.stack([_vector(ws, idf) for ws in lists])
-    labels = np.array(labels)
+    labels, source = np.array(labels), np.array(source)
     langs = sorted(map(str, set(labels)))
     kept = np.ones(len(labels), dtype=bool)
     for r in range(rounds + 1):
@@ -180,10 +207,8 @@ def fit(docs: list[tuple[str, str]], rounds: int = 3) -> Centroids:
         if r == rounds:
             break
         kept = near == labels
-        support = {x: int((labels == x).sum()) for x in langs}
-        means = np.stack([m[labels == x].mean(0) for x in langs])
-        means /= np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-9)
-        twins = {a for i, a in enumerate(langs) for j, b in enumerate(langs) if i != j and means[i] @ means[j] > SAME and support[a] < RARE * support[b]}
+        same = _one_language(m, labels, source, langs)
+        twins = {a for i, a in enumerate(langs) for j, b in enumerate(langs) if i != j and same[i, j] and counts[a] < RARE * counts[b]}
         langs = [x for x in langs if x not in twins]
         langs = [x for x in langs if (kept & (labels == x)).sum() >= 3] or langs[:1]
         kept &= np.isin(labels, langs)
@@ -276,7 +301,7 @@ def fit_centroids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     for r in sorted(few, key=lambda r: (r["lang"], r["h"], r["text"])):
         if len(held[r["lang"]]) < per_label:
             held[r["lang"]].append((r["lang"], r["text"]))
-    return fit([x for v in held.values() for x in v])
+    return fit([x for v in held.values() for x in v], counts={r["lang"]: r["count"] for r in counts})
 
 
 def language_segments(docs: DataFrame, c: Centroids, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

@@ -133,6 +133,32 @@ def test_languages(spark):
     assert G.language_segments(df.limit(0), c).count() == 0
 
 
+def words_in(letters, n, seed):
+    rng = random.Random(seed)
+    vocab = ["".join(rng.choices(letters, k=rng.randrange(3, 8))) for _ in range(120)]
+    return [" ".join(rng.choices(vocab, k=12)) + "." for _ in range(n)]
+
+
+def test_wrong_label_is_folded_whatever_the_size():
+    ru, ro = words_in("абвгдежзик", 400, 1), words_in("abcdefghik", 60, 2)
+    sample = [("ru", t) for t in ru[:60]] + [("bg", t) for t in ru[60:120]] + [("ro", t) for t in ro]
+    assert G.fit(sample, counts={"ru": 2200, "bg": 60, "ro": 56000}).langs == ["ro", "ru"]
+    few = [("ru", t) for t in ru[:60]] + [("bg", t) for t in ru[60:66]] + [("ro", t) for t in ro]
+    assert G.fit(few, counts={"ru": 220, "bg": 6, "ro": 5600}).langs == ["ro", "ru"]
+
+
+def test_rare_language_close_to_another_is_kept():
+    ro, es = words_in("abcdefghik", 60, 2), words_in("abcdefghop", 60, 3)
+    assert G.fit([("ro", t) for t in ro] + [("es", t) for t in es], counts={"ro": 56000, "es": 900}).langs == ["es", "ro"]
+
+
+def test_fit_centroids_counts_all_documents(spark):
+    ru = words_in("абвгдежзик", 400, 1)
+    rows = [(i, t, "bg" if i % 10 == 0 else "ru") for i, t in enumerate(ru)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert G.fit_centroids(df, per_label=30).langs == ["ru"]
+
+
 def test_languages_without_labels(spark):
     df = spark.createDataFrame([(1, "Ana are mere.", None)], "doc_id long, text string, lang string")
     assert [r["lang"] for r in G.language_segments(df, G.fit_centroids(df)).collect()] == ["und"]
