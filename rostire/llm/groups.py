@@ -13,7 +13,8 @@ their component.
 * Cumulative sizes in hash order come from bucket totals and a window inside each bucket.
 
 Edge cases: null names are no edge, a name linked to itself neither; keys without links are groups of
-their own; null keys have no group; empty tables give no rows; repeated edges change nothing.
+their own; null keys have no group, and each record without a key is split by itself; a record delivered under
+several keys goes by the smallest; null ids name no record; empty tables give no rows; repeated edges change nothing.
 """
 
 from __future__ import annotations
@@ -105,10 +106,14 @@ def key_splits(records: DataFrame) -> DataFrame:
     return records.where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("n"), F.min("split").alias("low"), F.max("split").alias("high"))
 
 
+def named_keys(keys: DataFrame, links: DataFrame) -> DataFrame:
+    """``keys`` with the ``group_key`` of each ``key``."""
+    return keys.join(grouped_keys(links), "key", "left").withColumn("group_key", F.coalesce("group_key", "key"))
+
+
 def groups_of(keys: DataFrame, links: DataFrame) -> DataFrame:
     """``group_key, n, low, high`` of the groups that have records."""
-    named = keys.join(grouped_keys(links), "key", "left").withColumn("group_key", F.coalesce("group_key", "key"))
-    return named.groupBy("group_key").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return named_keys(keys, links).groupBy("group_key").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
 
 
 def spread_groups(groups: DataFrame) -> DataFrame:
@@ -134,3 +139,18 @@ def assign_splits(groups: DataFrame, shares: dict[str, float], seed: int = 5) ->
         edge += share / total
         case = F.when(middle <= edge, name) if case is None else case.when(middle <= edge, name)
     return at.select("group_key", "n", case.otherwise(list(shares)[-1]).alias("split"))
+
+
+def assign_records(records: DataFrame, links: DataFrame, shares: dict[str, float], seed: int = 5) -> DataFrame:
+    """``tbl, id, group_key, split``: a split for every record of ``tbl, id, key``, each ``id`` of a ``tbl`` once.
+
+    A record without a key has no ``group_key`` and is placed, by the hash of its table and id, among the groups
+    as one of its own, so that the shares are those of all records.
+    """
+    alone = F.concat("tbl", F.lit("\0"), F.col("id").cast("string"))
+    own = cut(records.where("id IS NOT NULL").groupBy("tbl", "id").agg(F.min("key").alias("key")), "records")
+    keyed = named_keys(own.where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("n")), links).select("key", "group_key", "n", F.lit(True).alias("grouped"))
+    units = cut(keyed.unionByName(own.where("key IS NULL").select(alone.alias("key"), alone.alias("group_key"), F.lit(1).cast("long").alias("n"), F.lit(False).alias("grouped"))), "units")
+    splits = assign_splits(units.groupBy("group_key").agg(F.sum("n").alias("n")), shares, seed).select("group_key", "split")
+    homes = units.join(splits, "group_key").select("key", F.when(F.col("grouped"), F.col("group_key")).alias("group_key"), "split")
+    return own.select("tbl", "id", F.coalesce("key", alone).alias("key")).join(homes, "key").select("tbl", "id", "group_key", "split")

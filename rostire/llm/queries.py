@@ -105,12 +105,17 @@ def p5_report(spark: SparkSession, sf: str) -> DataFrame:
     return _sample(spark, sf).report
 
 
-def _groups(spark: SparkSession, sf: str) -> DataFrame:
+def _keyed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     ev, ut, al = (table(spark, sf, t) for t in ("evaluation_example", "utterance", "source_alias"))
-    own = ev.select("id", groups.tidy(F.substring_index("source", "#", 1)).alias("key"), groups.tidy(F.col("split")).alias("split"))
-    said = ut.select(F.col("utt_id").alias("id"), F.concat(groups.tidy(F.col("corpus")), F.lit("/"), groups.tidy(F.col("speaker"))).alias("key"), groups.tidy(F.col("split")).alias("split"))
+    own = ev.select(F.lit("evaluation_example").alias("tbl"), "id", groups.tidy(F.substring_index("source", "#", 1)).alias("key"), groups.tidy(F.col("split")).alias("split"))
+    said = ut.select(F.lit("utterance").alias("tbl"), F.col("utt_id").alias("id"), F.concat(groups.tidy(F.col("corpus")), F.lit("/"), groups.tidy(F.col("speaker"))).alias("key"), groups.tidy(F.col("split")).alias("split"))
     links = al.select(groups.tidy(F.col("alias_name")).alias("a"), groups.tidy(F.col("same_as")).alias("b"))
-    return groups.groups_of(groups.key_splits(own.distinct().unionByName(said.distinct())), links)
+    return own.unionByName(said), links
+
+
+def _groups(spark: SparkSession, sf: str) -> DataFrame:
+    records, links = _keyed(spark, sf)
+    return groups.groups_of(groups.key_splits(records.distinct()), links)
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -119,8 +124,8 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_assignment(spark: SparkSession, sf: str) -> DataFrame:
-    """A new split for every group, in the proportions 80 : 10 : 10 of records."""
-    return groups.assign_splits(_groups(spark, sf), {"train": 0.8, "dev": 0.1, "test": 0.1})
+    """A new split for every record, groups whole, in the proportions 80 : 10 : 10 of all records."""
+    return groups.assign_records(*_keyed(spark, sf), {"train": 0.8, "dev": 0.1, "test": 0.1})
 
 
 def p7_containers(spark: SparkSession, sf: str) -> DataFrame:

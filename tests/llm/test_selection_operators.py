@@ -1,3 +1,4 @@
+import os
 import random
 from collections import Counter, defaultdict
 
@@ -6,8 +7,10 @@ from pyspark.sql import functions as F
 
 from rostire.llm import groups as P
 from rostire.llm import packing as B
+from rostire.llm import queries as llm
 from rostire.llm import samples as Q
 
+DATA = "/root/testdata/sf0.001"
 TARGET = "plan_name string, field_name string, category string, sample_permille int, target_permille int, min_rows int"
 
 
@@ -116,6 +119,34 @@ def test_groups_and_assignment(spark):
     assert abs(n["train"] / total - 0.5) < 0.05 and abs(n["dev"] / total - 0.3) < 0.05
 
 
+def test_every_record_is_assigned(spark):
+    rng = random.Random(4)
+    rows = [("e", str(k), rng.choice([None, "hot", f"k{rng.randrange(150)}"])) for k in range(1500)] + [("u", str(k), rng.choice([None, f"u/{rng.randrange(90)}"])) for k in range(900)]
+    links = [("k1", "k2"), ("k2", "zz"), ("u/3", "k3"), (None, "k4")]
+    df = spark.createDataFrame(rows + rows[:200], "tbl string, id string, key string")
+    ldf = spark.createDataFrame(links, "a string, b string")
+    done = P.assign_records(df, ldf, {"train": 0.8, "dev": 0.1, "test": 0.1}).collect()
+    assert len(done) == len(rows) and {(r["tbl"], r["id"]) for r in done} == {(t, i) for t, i, _ in rows}
+    key, group, homes = {(t, i): k for t, i, k in rows}, union_find([x for x in links if x[0]]), defaultdict(set)
+    for r in done:
+        k = key[r["tbl"], r["id"]]
+        assert r["group_key"] == group.get(k, k)
+        homes[r["group_key"]].add(r["split"])
+    assert all(len(v) == 1 for k, v in homes.items() if k) and homes[None] == {"train", "dev", "test"}
+    share = Counter(r["split"] for r in done if r["group_key"] != "hot")
+    assert abs(share["train"] / sum(share.values()) - 0.8) < 0.25
+    again = P.assign_records(df.repartition(3), ldf, {"train": 0.8, "dev": 0.1, "test": 0.1}).collect()
+    assert sorted(map(str, again)) == sorted(map(str, done))
+    assert P.assign_records(df.limit(0), ldf, {"train": 1.0}).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_assignment_query_covers_both_tables(spark):
+    got = llm.QUERIES["p6_assignment"](spark, DATA).collect()
+    ids = {(t, r[0]) for t, k in (("evaluation_example", "id"), ("utterance", "utt_id")) for r in spark.read.parquet(f"{DATA}/{t}.parquet").select(k).collect()}
+    assert len(got) == len(ids) and {(r["tbl"], r["id"]) for r in got} == ids and {r["split"] for r in got} == {"train", "dev", "test"}
+
+
 def test_groups_empty(spark):
     df = spark.createDataFrame([], "id string, key string, split string")
     g = P.groups_of(P.key_splits(df), spark.createDataFrame([], "a string, b string"))
