@@ -20,15 +20,13 @@ from __future__ import annotations
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..runtime import cut
-from .textform import SUSPECT, consistent, consistent_form, consistent_word
+from .textform import SPELT, SUSPECT, consistent, consistent_form, consistent_word, rebuilt
 
-#: A word for the dictionary: letters, digits and marks with invisible characters inside.
-WORD = r"[\p{L}\p{N}\p{M}\p{Cf}]+"
 #: Gaps that are no ordinary space, tab or line break, and invisible characters.
 ODD = r"[\p{Zs}\p{Cf}\x0b\x0c\x85\x1c-\x1f  ͏︀-️％&&[^\x20؀-؅۝]]"
 
@@ -60,14 +58,20 @@ def word_classes(words: DataFrame) -> DataFrame:
         WHERE m.word <> c.canonical""")
 
 
+def text_fields(df: DataFrame, key: str, fields: list[str], tbl: str) -> DataFrame:
+    """``tbl, rec_key, field_name, value`` of each field."""
+    pairs = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in fields])
+    return df.select(F.lit(tbl).alias("tbl"), F.col(key).cast("string").alias("rec_key"), F.explode(pairs).alias("x")).select("tbl", "rec_key", "x.field_name", "x.value")
+
+
 def suspect_fields(df: DataFrame, key: str, fields: list[str], tbl: str) -> DataFrame:
     """``tbl, rec_key, field_name, value`` of each field with a suspect character."""
-    pairs = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in fields])
-    return (
-        df.select(F.lit(tbl).alias("tbl"), F.col(key).cast("string").alias("rec_key"), F.explode(pairs).alias("x"))
-        .select("tbl", "rec_key", "x.field_name", "x.value")
-        .where(F.col("value").rlike(SUSPECT))
-    )
+    return text_fields(df, key, fields, tbl).where(F.col("value").rlike(SUSPECT))
+
+
+def _suspect_words() -> Column:
+    """The words with a suspect character in ``value``."""
+    return F.filter(F.regexp_extract_all("value", F.lit(f"({SPELT})"), F.lit(1)), lambda w: w.rlike(SUSPECT))
 
 
 def inconsistent_fields(fields: DataFrame) -> DataFrame:
@@ -80,7 +84,7 @@ def inconsistent_fields(fields: DataFrame) -> DataFrame:
     fields = cut(fields, "suspect")
     words = fields.select(
         "tbl", "rec_key", "field_name", F.col("value").rlike(ODD).alias("odd"),
-        F.explode_outer(F.filter(F.regexp_extract_all("value", F.lit(f"({WORD})"), F.lit(1)), lambda w: w.rlike(SUSPECT))).alias("word"),
+        F.explode_outer(_suspect_words()).alias("word"),
     )
     classes = word_classes(words)
     hit = (
@@ -94,6 +98,20 @@ def inconsistent_fields(fields: DataFrame) -> DataFrame:
     return hit.unionByName(hidden).distinct()
 
 
-def in_consistent_form(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``df`` with the named columns brought to consistent form; nulls stay null."""
-    return df.withColumns({c: consistent_form(F.col(c)) for c in columns})
+@F.pandas_udf(T.StringType())
+def _rebuilt(value: pd.Series, words: pd.Series, canonical: pd.Series) -> pd.Series:
+    return pd.Series([rebuilt(v, dict(zip(w, c))) for v, w, c in zip(value, words, canonical)], dtype=object)
+
+
+def in_consistent_form(fields: DataFrame) -> DataFrame:
+    """Distinct ``tbl, rec_key, field_name, value`` with every value in consistent form; nulls stay null.
+
+    ``fields`` is the union of ``text_fields``. Words are replaced by the canonical members of their classes, joined
+    to the words and gathered for each text; plain texts are passed on as they are.
+    """
+    fields = cut(fields.distinct().withColumn("suspect", F.coalesce(F.col("value").rlike(SUSPECT), F.lit(False))), "fields")
+    own = ["tbl", "rec_key", "field_name", "value"]
+    words = fields.where("suspect").select(*own, F.explode_outer(F.array_distinct(_suspect_words())).alias("word"))
+    swaps = words.join(word_classes(words), "word", "left").groupBy(*own).agg(F.collect_list(F.when(F.col("canonical").isNotNull(), F.struct("word", "canonical"))).alias("swap"))
+    formed = swaps.select(*own[:3], _rebuilt("value", "swap.word", "swap.canonical").alias("value"))
+    return fields.where("NOT suspect").select(*own).unionByName(formed).distinct()

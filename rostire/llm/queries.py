@@ -66,9 +66,10 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_consistent(spark: SparkSession, sf: str) -> DataFrame:
-    """Evaluation records with text and normalized text in consistent form."""
-    df = table(spark, sf, "evaluation_example").select("id", "text", "expected_normalized_text").distinct()
-    return lookalikes.in_consistent_form(df, ["text", "expected_normalized_text"])
+    """Text and normalized text of evaluation records and text of utterances in consistent form."""
+    ev, ut = table(spark, sf, "evaluation_example"), table(spark, sf, "utterance")
+    fields = lookalikes.text_fields(ev, "id", ["text", "expected_normalized_text"], "evaluation_example")
+    return lookalikes.in_consistent_form(fields.unionByName(lookalikes.text_fields(ut, "utt_id", ["text"], "utterance")))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:

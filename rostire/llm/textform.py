@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata as ud
+from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
@@ -35,6 +36,9 @@ PLAIN = r"\t\n\r\x20-\x7e¡-¬®-įı-ŝŠšŤ-ǌǏ-ǯǱ-ɏ‐-‧‰-⁞€"
 SUSPECT = f"[^{PLAIN}]"
 _SUSPECT = re.compile(SUSPECT)
 _WORD = regex.compile(r"[\p{L}\p{N}\p{M}]+")
+#: A word as it is spelt: letters, digits and marks with invisible characters inside. Java and Python read it alike.
+SPELT = r"[\p{L}\p{N}\p{M}\p{Cf}]+"
+_SPELT = regex.compile(SPELT)
 _INVISIBLE = regex.compile(r"[\p{Cf}--[؀-؅۝܏࣢]͏︀-️ᅟᅠ឴឵]", flags=regex.V1)
 _GAP = regex.compile(r"[\p{Zs}\x0b\x0c\x85\x1c-\x1f--\x20]", flags=regex.V1)
 _LINE = re.compile("[  ]")
@@ -125,13 +129,24 @@ def consistent(text: str | None) -> str | None:
     """Consistent form of a whole text; null stays null, an empty text stays empty."""
     if text is None or _SUSPECT.search(text) is None:
         return text
-    text = visible(text)
+    return _in_context(visible(text), lambda w: consistent_word(w) if _SUSPECT.search(w) else w)
+
+
+def rebuilt(text: str, canonical: dict[str, str]) -> str:
+    """Consistent form of a text from the canonical members of its words; words without an entry are canonical.
+
+    What is no matter of single words, gaps, invisible characters and disguises in context, follows.
+    """
+    return _in_context(visible(_SPELT.sub(lambda m: canonical.get(m.group(), m.group()), text)), str)
+
+
+def _in_context(text: str, form: Callable[[str], str]) -> str:
+    """The text with every word in its form, and those unmasked that only their neighbours give away."""
     out, last, words = [], 0, []
     for m in _WORD.finditer(text):
-        w = m.group()
         out.append(text[last : m.start()])
         last = m.end()
-        words.append(consistent_word(w) if _SUSPECT.search(w) else w)
+        words.append(form(m.group()))
     for i in _disguised(words):
         words[i] = ud.normalize("NFC", ud.normalize("NFD", words[i]).translate(_TO_LATIN))
     parts = [x for pair in zip(out, words) for x in pair]

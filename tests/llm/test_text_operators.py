@@ -9,6 +9,7 @@ from rostire.llm import languages as G
 from rostire.llm import leaks as K
 from rostire.llm import lookalikes as L
 from rostire.llm import sentences as S
+from rostire.llm.queries import QUERIES
 from rostire.llm.textform import consistent, consistent_form, words_of
 
 DATA = "/root/testdata/sf0.01"
@@ -38,6 +39,33 @@ def test_inconsistent_fields(spark):
     assert L.inconsistent_fields(L.suspect_fields(df.limit(0), "id", ["text"], "t")).count() == 0
 
 
+def test_fields_in_consistent_form(spark):
+    rows = [(f"r{i}", t, None if i % 2 else "plain") for i, (t, _) in enumerate(FORMS)] + [(None, "şi ａ", "x")]
+    df = spark.createDataFrame(rows * 2, "id string, text string, word string")
+    got = L.in_consistent_form(L.text_fields(df, "id", ["text", "word"], "t")).collect()
+    want = {("t", i, "text", consistent(t)) for i, t, _ in rows} | {("t", i, "word", w) for i, _, w in rows}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert L.in_consistent_form(L.text_fields(df.limit(0), "id", ["text"], "t")).count() == 0
+
+
+def test_texts_are_built_from_canonical_words(spark, monkeypatch):
+    named = spark.createDataFrame([("ţară", "CANONICAL")], "word string, canonical string")
+    monkeypatch.setattr(L, "word_classes", lambda words: named)
+    df = spark.createDataFrame([("a", "o ţară, două")], "id string, text string")
+    assert [r["value"] for r in L.in_consistent_form(L.text_fields(df, "id", ["text"], "t")).collect()] == ["o CANONICAL, două"]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+def test_consistent_query_covers_all_three_fields(spark):
+    sf = "/root/testdata/sf0.001"
+    got = {tuple(r) for r in QUERIES["p3_consistent"](spark, sf).select("tbl", "rec_key", "field_name", "value").collect()}
+    want = set()
+    for tbl, key, fields in (("evaluation_example", "id", ["text", "expected_normalized_text"]), ("utterance", "utt_id", ["text"])):
+        for r in spark.read.parquet(f"{sf}/{tbl}.parquet").select(key, *fields).collect():
+            want |= {(tbl, r[key], f, consistent(r[f])) for f in fields}
+    assert got == want
+
+
 def test_classes_have_one_canonical_member(spark):
     df = spark.createDataFrame([("Ρavel",), ("Pavel",), ("Pаvel",), ("Pâvel",), (None,), ("Ρavel",)], "word string")
     got = {(r["word"], r["canonical"]) for r in L.word_classes(df).collect()}
