@@ -19,11 +19,10 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textform import consistent, words_of
+from .textform import consistent, word_spans, words_of
 
 #: Successive words that make a leak.
 RUN = 14
@@ -31,7 +30,6 @@ RUN = 14
 BLOCK_WORDS = 400_000
 
 _SPAN = "{key} {kind}, item_id long, doc_from int, doc_to int, item_from int, item_to int, item_words int"
-_WORD = regex.compile(r"[\p{L}\p{N}\p{M}]+")
 
 
 class ItemIndex:
@@ -111,14 +109,8 @@ def leak_report(spans: DataFrame) -> DataFrame:
 
 
 def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
-    """Consistent form of a text without the words from ``a`` to before ``b`` of each span.
-
-    Where marks that stand alone make its words ambiguous nothing of it is kept.
-    """
-    text = consistent(text)
-    at = [m.span() for m in _WORD.finditer(text)]
-    if len(at) != len(words_of(text)):
-        return ""
+    """Consistent form of a text without the words from ``a`` to before ``b`` of each span."""
+    at, text = word_spans(text), consistent(text)
     out, last = [], 0
     for a, b in sorted(spans):
         start, end = at[a][0], at[b - 1][1]

@@ -162,7 +162,11 @@ _RUN = re.compile(r"[^\W_]+")
 
 def folded(text: str) -> str:
     """Consistent form without case and diacritics."""
-    t = consistent(text).casefold()
+    return _folded(consistent(text))
+
+
+def _folded(text: str) -> str:
+    t = text.casefold()
     for a, b in _COMMON:
         t = t.replace(a, b)
     if t.isascii():
@@ -176,6 +180,23 @@ def words_of(text: str | None) -> list[str]:
     return _RUN.findall(folded(text)) if text else []
 
 
+_folded_char = lru_cache(maxsize=1 << 14)(_folded)
+
+
+def word_spans(text: str) -> list[tuple[int, int]]:
+    """Start and end of each of ``words_of(text)``, with its marks, in the consistent form of the text."""
+    form = consistent(text)
+    parts = [_folded_char(c) for c in form]
+    at = [i for i, p in enumerate(parts) for _ in p]
+    spans = []
+    for m in _RUN.finditer("".join(parts)):
+        end = at[m.end() - 1] + 1
+        while end < len(parts) and not parts[end]:
+            end += 1
+        spans.append((at[m.start()], end))
+    return spans
+
+
 _LOOSE = regex.compile(r"[\p{P}\p{Z}\p{C}]+")
 _KEPT = re.compile(r"[^\W_]+|[$+<=>^`|~¢-¦¨©¬®-±´¸×÷€⁄⁒]+")
 _SIGN = re.compile(r"[^\W_]")

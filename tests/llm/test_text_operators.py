@@ -10,7 +10,7 @@ from rostire.llm import leaks as K
 from rostire.llm import lookalikes as L
 from rostire.llm import sentences as S
 from rostire.llm.queries import QUERIES
-from rostire.llm.textform import consistent, consistent_form, words_of
+from rostire.llm.textform import consistent, consistent_form, word_spans, words_of
 
 DATA = "/root/testdata/sf0.01"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
@@ -104,6 +104,14 @@ def test_leaks_match_brute_force(spark):
     assert K.leaked_spans(ddf.limit(0), idf).count() == 0 and K.leaked_spans(ddf, idf.limit(0)).count() == 0
 
 
+def test_text_around_leaks_is_kept():
+    for t in ("Unu \u0301 doi, trei. \u0301Patru", "a\u0301b \u0327 Ștefan straße 한국 ﬁlm", "हिन्दी भाषा और"):
+        form, at = consistent(t), word_spans(t)
+        assert [words_of(form[a:b]) for a, b in at] == [[w] for w in words_of(t)]
+    assert K.without_spans("Unu \u0301 doi, trei. \u0301Patru", [(1, 2)]) == "Unu \u0301 , trei. \u0301Patru"
+    assert K.without_spans("Unu \u0301 doi, trei. Patru", [(0, 2)]) == ", trei. Patru"
+
+
 @needs_data
 def test_sentences_held_out(spark):
     import duckdb
