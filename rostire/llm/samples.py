@@ -2,7 +2,7 @@
 
 Method: calibration by Newton iterations on the exponential-tilting dual, with category moments
 aggregated distributedly; the resulting probabilities are drawn by the pivotal method; floors are
-fixed and gaps reported.
+filled up after the draw and gaps reported.
 
 * Records fall into membership patterns (which of a plan's categories they have). The counts of the
   patterns, aggregated with map-side combining, are sufficient for all moments; they stay distributed
@@ -177,12 +177,38 @@ class CalibratedSample:
         self.sample, self.report = sample, report
 
 
+def _bit_counts(width: int) -> list[Column]:
+    """Records of each category of a plan, by the bits of their masks."""
+    return [F.sum(F.when(F.expr(f"(mask & {1 << k}L) <> 0"), 1).otherwise(0)).alias(f"b{k}") for k in range(width)]
+
+
+def topped_up(sample: DataFrame, masks: DataFrame, floors: dict[tuple[str, int], int], seed: int) -> DataFrame:
+    """``sample`` with records added, by lowest draw hash, to each plan's categories that are below their floor.
+
+    ``floors`` are no more than what is available, by plan and number of the category.
+    """
+    width = 1 + max((k for _, k in floors), default=0)
+    drawn = {r["plan"]: r for r in sample.join(masks, ["plan", "id"]).groupBy("plan").agg(*_bit_counts(width)).collect()}
+    added: dict[str, list[int]] = {}
+    for (plan, k), floor in sorted(floors.items()):
+        more = added.setdefault(plan, [0] * width)
+        need = floor - (drawn[plan][f"b{k}"] if plan in drawn else 0) - more[k]
+        if need <= 0:
+            continue
+        left = masks.where((F.col("plan") == plan) & F.expr(f"(mask & {1 << k}L) <> 0")).join(sample, ["plan", "id"], "left_anti")
+        extra = cut(left.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(need).select("plan", "id", "mask"), "topped")
+        for j, n in enumerate(extra.agg(*_bit_counts(width)).first()):
+            more[j] += n or 0
+        sample = sample.unionByName(extra.select("plan", "id"))
+    return sample
+
+
 def calibrated_sample(records: DataFrame, targets: DataFrame, fields: dict[str, Column], id_col: str = "id", seed: int = 11) -> CalibratedSample:
     """Sample of ``records`` for each plan of ``targets``.
 
     ``fields`` gives for each field name an array of the categories of a record. A target is met if the
     records suffice: ``unmet`` marks categories with fewer records than N * sample * target, exactly,
-    or fewer than their floor.
+    or fewer than their floor; ``short`` those with fewer than their floor in the sample.
     """
     spark = records.sparkSession
     tidy = lambda a: F.array_distinct(F.transform(F.filter(a, lambda x: x.isNotNull()), lambda x: F.lower(F.trim(x))))
@@ -190,7 +216,7 @@ def calibrated_sample(records: DataFrame, targets: DataFrame, fields: dict[str,
     plans = [p for p in plans_of(targets) if set(p.fields) <= set(fields)]
     if not plans:
         empty = spark.createDataFrame([], "plan_name string, id string")
-        return CalibratedSample(empty, spark.createDataFrame([], "plan_name string, category string, records long, available long, target double, floor long, expected double, sampled long, unmet boolean"))
+        return CalibratedSample(empty, spark.createDataFrame([], "plan_name string, category string, records long, available long, target double, floor long, expected double, sampled long, unmet boolean, short boolean"))
     per = F.array(*[F.struct(F.lit(p.name).alias("plan"), p.mask().alias("mask")) for p in plans])
     masks = cut(slim.where("id IS NOT NULL").dropDuplicates(["id"]).select("id", F.explode(per).alias("x")).select("id", "x.plan", "x.mask"), "masks")
     patterns = cut(masks.groupBy("plan", "mask").agg(F.count("*").alias("n")), "patterns")
@@ -259,11 +285,13 @@ def calibrated_sample(records: DataFrame, targets: DataFrame, fields: dict[str,
     left = one.where("p < 1").repartition(1).sortWithinPartitions("plan", "id")  # one row a partition and plan
     sample = cut(one.where("p >= 1").select("plan", "id").unionByName(left.mapInPandas(second, kind).select("plan", "id")), "sample")
 
-    got_bits = [F.sum(F.when(F.expr(f"(mask & {1 << k}L) <> 0"), 1).otherwise(0)).alias(f"b{k}") for k in range(width)]
-    got = sample.join(masks, ["plan", "id"]).groupBy("plan").agg(*got_bits)
+    sample = topped_up(sample, masks, {(name, k): min(least, have) for name, _, k, _, have, _, least, _, _ in lines}, seed)
+
+    got = sample.join(masks, ["plan", "id"]).groupBy("plan").agg(*_bit_counts(width))
     long = got.select("plan", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"b{k}").alias("sampled")) for k in range(width)])).alias("x")).select("plan", "x.k", "x.sampled")
     head = spark.createDataFrame(lines, "plan_name string, category string, k int, records long, available long, target double, floor long, expected double, unmet boolean")
     report = head.join(long, (head["plan_name"] == long["plan"]) & (head["k"] == long["k"]), "left").select(
-        "plan_name", "category", "records", "available", "target", "floor", F.round("expected", 3).alias("expected"), F.coalesce("sampled", F.lit(0)).cast("long").alias("sampled"), "unmet"
-    )
+        "plan_name", "category", "records", "available", "target", "floor", F.round("expected", 3).alias("expected"), F.coalesce("sampled", F.lit(0)).cast("long").alias("sampled"), "unmet",
+        (F.coalesce("sampled", F.lit(0)) < F.col("floor")).alias("short"),
+    )
     return CalibratedSample(sample.select(F.col("plan").alias("plan_name"), "id"), report)

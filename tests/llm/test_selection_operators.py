@@ -49,6 +49,27 @@ def test_sample_empty(spark):
     assert draw(spark, df, []).report.count() == 0
 
 
+def test_floors_hold_after_the_draw(spark):
+    rng = random.Random(5)
+    rows = [(f"r{k}", "rare" if k < 60 else "much", rng.sample(["p", "q", "s", "t", "u"], rng.randrange(0, 5))) for k in range(2000)]
+    df = spark.createDataFrame(rows, "id string, reg string, ph array<string>")
+    targets = [("a", "reg", "rare", 100, 50, 50), ("a", "reg", "none", 100, 10, 5), *(("a", "ph", x, 100, 300, 1) for x in "pqstu")]
+    fields = {"reg": F.array("reg"), "ph": F.col("ph")}
+    for seed in range(4):
+        s = Q.calibrated_sample(df, spark.createDataFrame(targets, TARGET), fields, seed=seed)
+        rep = {r["category"]: r for r in s.report.collect()}
+        assert rep["rare"]["sampled"] >= 50 and not rep["rare"]["short"] and rep["none"]["short"]
+        assert s.sample.count() == s.sample.distinct().count()
+
+
+def test_topped_up(spark):
+    masks = spark.createDataFrame([("a", f"r{k}", 1 if k < 10 else 2) for k in range(30)] + [("a", "both", 3)], "plan string, id string, mask long")
+    sample = spark.createDataFrame([("a", "r0"), ("a", "r20")], "plan string, id string")
+    got = [r["id"] for r in Q.topped_up(sample, masks, {("a", 0): 11, ("a", 1): 2}, 1).collect()]
+    assert len(got) == len(set(got)) == 12 and {"r0", "r20", "both", *(f"r{k}" for k in range(10))} == set(got)
+    assert Q.topped_up(sample.limit(0), masks, {("a", 1): 4}, 1).count() == 4
+
+
 def test_distributed_moments_agree(spark, monkeypatch):
     df, _ = records(spark, 800)
     targets = [("a", "ph", "p", 200, 300, 1), ("a", "ph", "q", 200, 500, 1)]
