@@ -1,12 +1,12 @@
 """Problem 1: same or near-same records across splits.
 
-Method: a suffix array over the words of all records, partitioned and sorted by leading words, one for
-the held-out records and one for training. Merging the two brings suffixes with a long common prefix
-side by side; these reveal shared spans, the spans of two records are merged into coverage, and an
-exact comparison of word order confirms the pair.
+Method: a prefix-filtered join in place of a full suffix array. Both sides keep entries for their rarest
+words; entries that start with the same block of two or three words meet in an equi-join (nothing is sorted
+or merged), spans are compared over the HELD words of an entry only, and an exact comparison of word order
+confirms the pair.
 
 * Records with equal words form one class before anything is compared, so copies never pair up here.
-* The array is sparse: of each record only the rarest word triples (pairs in short texts) start a
+* Entries are sparse: of each record only the rarest word triples (pairs in short texts) start a
   suffix. How many are kept follows from the edits a case may have (prefix filtering), so no partner is
   capped: two texts of which the longer has n words and c = ceil(0.8 n) of them stand in the other in
   order share a kept suffix if they differ in at most n - c places (words replaced, dropped or put in).
