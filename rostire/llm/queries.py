@@ -169,6 +169,11 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return languages.label_cases(languages.document_languages(_segments(spark, sf))).distinct()
 
 
+def p9_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Languages of each document with their share of it and a confidence; ``und`` where none is near."""
+    return languages.document_languages(_segments(spark, sf)).drop("label")
+
+
 def p9_segments(spark: SparkSession, sf: str) -> DataFrame:
     """Language and confidence of each segment of each document."""
     return _segments(spark, sf).drop("label", "chars")
@@ -176,7 +181,7 @@ def p9_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 _ALL = (
     p1_found, p1_overlap_report, p2_found, p2_copy_counts, p3_found, p3_consistent, p4_found, p4_sentence_units, p5_found, p5_sample,
-    p5_report, p6_found, p6_assignment, p7_containers, p7_fill, p8_found, p8_item_report, p8_cleaned, p9_found, p9_segments,
+    p5_report, p6_found, p6_assignment, p7_containers, p7_fill, p8_found, p8_item_report, p8_cleaned, p9_found, p9_documents, p9_segments,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 

@@ -1,5 +1,6 @@
 import os
 import random
+import re
 
 import numpy as np
 import pytest
@@ -198,3 +199,42 @@ def test_fit_centroids_counts_all_documents(spark):
 def test_languages_without_labels(spark):
     df = spark.createDataFrame([(1, "Ana are mere.", None)], "doc_id long, text string, lang string")
     assert [r["lang"] for r in G.language_segments(df, G.fit_centroids(df)).collect()] == ["und"]
+
+
+def test_similarities_are_cosines():
+    docs = [("aa", t) for t in words_in("abcdefgh", 40, 4)] + [("bb", t) for t in words_in("mnopqrst", 40, 5)]
+    c = G.fit(docs)
+    ws = G.words("abba abba mona strop abcdef " + "x" * 40)
+    ids, _ = G.grams(ws)
+    v = np.bincount(ids, minlength=G.DIMS) * c.idf
+    want = (v @ (c.weight.T / c.idf).T) / np.linalg.norm(v)
+    best = [want[c.owner == j].max() for j in range(len(c.langs))]
+    assert np.allclose(c.similarities([ws, ws[:2], ws])[[0, 2]], best, atol=1e-4)
+    assert np.allclose(c.similarities([ws[::-1]])[0], best, atol=1e-4)
+
+
+def test_pieces_do_not_end_at_abbreviations():
+    text = "Se depun avize, procuri etc. pentru dosar. Vezi art. 5 azi! Il gatto dorme."
+    assert [text[a:b].strip() for a, b in G.pieces(text)] == ["Se depun avize, procuri etc. pentru dosar.", "Vezi art. 5 azi!", "Il gatto dorme."]
+    assert [b - a for a, b in G.pieces("a" * 100_000)] == [100_000]
+
+
+@needs_data
+def test_languages_of_documents_of_one_script(spark):
+    """Held-out accuracy: documents whose label the fit did not see, in scripts that tell the language."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    c = G.fit_centroids(docs.where("doc_id % 2 = 0"))
+    known = {"el": "[Ͱ-Ͽ]", "th": "[฀-๿]", "hi": "[ऀ-ॿ]", "zh": "[一-鿿]", "ru": "[Ѐ-ӿ]"}
+    for r in G.document_languages(G.language_segments(docs.where("doc_id % 2 = 1"), c)).join(docs.select("doc_id", "text"), "doc_id").where("part > 0.9").collect():
+        if r["lang"] in known:
+            assert len(re.findall(known[r["lang"]], r["text"])) > 10
+        assert 0 <= r["confidence"] <= 1
+
+
+def test_rejected_documents_come_out_as_und(spark):
+    docs = [("aa", t) for t in words_in("abcdefgh", 40, 4)]
+    c = G.fit(docs)
+    df = spark.createDataFrame([(1, "Жук щука яма.", "aa"), (2, docs[0][1], None)], "doc_id long, text string, lang string")
+    langs = G.document_languages(G.language_segments(df, c))
+    assert sorted((r["doc_id"], r["lang"]) for r in langs.collect()) == [(1, "und"), (2, "aa")]
+    assert [(r["doc_id"], r["lang"]) for r in G.label_cases(langs).collect()] == [(2, "aa")]
