@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
 from . import copies, groups, languages, leaks, lookalikes, overlaps, packing, samples, sentences
 
 
+def _latest(df: DataFrame, key: str, order: str, *cols: Column) -> DataFrame:
+    """The last delivery of each ``key`` by ``order``; among equal ones that with the greatest columns."""
+    picked = F.max(F.struct(F.col(order), *cols))
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(picked.alias("x")).select(key, "x.*").drop(order)
+
+
 def _overlaps(spark: SparkSession, sf: str) -> overlaps.Overlaps:
     return overlaps.cross_split_overlaps(table(spark, sf, "evaluation_example"))
 
@@ -25,15 +31,26 @@ def p1_overlap_report(spark: SparkSession, sf: str) -> DataFrame:
     """Held-out records with a counterpart in training, per split and source name."""
     df = table(spark, sf, "evaluation_example")
     o = overlaps.cross_split_overlaps(df)
-    hit = o.members.where("NOT train").join(o.pairs.groupBy(F.col("a").alias("cid")).agg(F.count("*").alias("partners")), "cid")
-    rows = df.dropDuplicates(["id"]).select("id", F.lower(F.trim("split")).alias("split"), F.lower(F.trim(F.substring_index("source", "#", 1))).alias("source"))
+    most = F.max(F.when(F.col("a") == F.col("b"), 1.0).otherwise(F.col("covered") / F.col("words"))).alias("share")
+    hit = o.members.where("NOT train").join(o.pairs.groupBy(F.col("a").alias("cid")).agg(F.count("*").alias("partners"), most), "cid")
+    rows = _latest(df, "id", "ingested_at", F.lower(F.trim("split")).alias("split"), F.lower(F.trim(F.substring_index("source", "#", 1))).alias("source"))
     return (
-        rows.where("split <> 'train'").join(hit.select("id", "partners"), "id", "left")
+        rows.where("split <> 'train'").join(hit.select("id", "partners", "share"), "id", "left")
         .groupBy("split", "source")
-        .agg(F.count("*").alias("records"), F.count("partners").alias("overlapping"), F.coalesce(F.max("partners"), F.lit(0)).alias("most_partner_texts"))
+        .agg(F.count("*").alias("records"), F.count("partners").alias("overlapping"), F.coalesce(F.max("partners"), F.lit(0)).alias("most_partner_texts"), F.round(F.avg("share"), 4).alias("mean_covered_share"))
     )
 
 
+def p1_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Overlapping texts, one row for each pair of classes of equal texts, with coverage and words in order."""
+    return _overlaps(spark, sf).pairs.select(F.hex("a").alias("held_out_class"), F.hex("b").alias("train_class"), "words", "covered", "common")
+
+
+def p1_members(spark: SparkSession, sf: str) -> DataFrame:
+    """The class of every record, for ``p1_pairs``."""
+    return _overlaps(spark, sf).members.select("id", "train", F.hex("cid").alias("class"))
+
+
 def _copies(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     records = (
         copies.canonical_records(table(spark, sf, "evaluation_example"), "id", "text", "evaluation_example")
@@ -180,7 +197,7 @@ def p9_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _ALL = (
-    p1_found, p1_overlap_report, p2_found, p2_copy_counts, p3_found, p3_consistent, p4_found, p4_sentence_units, p5_found, p5_sample,
+    p1_found, p1_overlap_report, p1_pairs, p1_members, p2_found, p2_copy_counts, p3_found, p3_consistent, p4_found, p4_sentence_units, p5_found, p5_sample,
     p5_report, p6_found, p6_assignment, p7_containers, p7_fill, p8_found, p8_item_report, p8_cleaned, p9_found, p9_documents, p9_segments,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}

@@ -58,7 +58,68 @@ def test_overlaps_match_brute_force(spark):
     got, o = overlaps(spark, rows)
     want = brute([r for r in rows])
     assert got == want and len(want) > 60
-    assert o.pairs.where("covered < 1 OR common < covered").count() >= 0
+    assert o.pairs.where("covered < 2 AND a <> b").count() == 0
+
+
+def scattered(rng, text, vocab, part=5):
+    """The text with words dropped and others put in, far apart, as many as a case may have."""
+    n = len(text)
+    spots = [i for i in range(n) if i % part == part - 1][: n // part]
+    out = []
+    for i, w in enumerate(text):
+        if i in spots:
+            continue
+        out.append(w)
+        if i % part == 1 and len(out) < n:
+            out.append(rng.choice(vocab))
+    return out
+
+
+def test_overlaps_with_scattered_drops_and_insertions_in_long_texts(spark):
+    rng = random.Random(9)
+    vocab = [f"w{k}" for k in range(60)]
+    rows = []
+    for k in range(40):
+        text = rng.choices(vocab, k=rng.randrange(17, 120))
+        rows += [(f"train-{k}", "train", " ".join(text)), (f"dev-{k}", "dev", " ".join(scattered(rng, text, vocab)))]
+        swapped = list(text)
+        for i in range(0, len(text) - 10, 10):
+            swapped[i], swapped[i + 1] = swapped[i + 1], swapped[i]
+        rows.append((f"test-{k}", "test", " ".join(swapped)))
+    got, _ = overlaps(spark, rows)
+    want = brute(rows)
+    assert got == want and len(want) >= 40
+
+
+def test_least_shared_pairs_hold_for_any_edits():
+    rng = random.Random(3)
+    seen = 0
+    for _ in range(20000):
+        n = rng.randrange(2, 26)
+        a = [rng.choice("abcdefghijklmnop") for _ in range(n)]
+        b = list(a)
+        for _ in range(rng.randrange(0, n // 4 + 2)):
+            p = rng.randrange(len(b) + 1)
+            if rng.random() < 0.5 and len(b) > 1:
+                del b[min(p, len(b) - 1)]
+            else:
+                b.insert(p, rng.choice("abcdefghijklmnop"))
+        if a != b and lcs(a, b) * 5 >= 4 * max(len(a), len(b)):
+            seen += 1
+            assert O.covered(a, b) > O.shared_pairs(len(a), len(b))
+            assert len(set(zip(a, a[1:])) & set(zip(b, b[1:]))) >= 1
+    assert seen > 2000
+
+
+def test_overlaps_split_hot_intervals(spark):
+    rows = [(f"train-{k}", "train", f"una doua trei patru cinci sase sapte w{k} zece") for k in range(40)]
+    rows += [(f"dev-{k}", "dev", f"una doua trei patru cinci sase sapte v{k} zece") for k in range(30)]
+    df = spark.createDataFrame(rows, "id string, split string, text string")
+    classes = df.selectExpr("monotonically_increasing_id() AS num", "text AS key", "split <> 'train' AS held_out", "split = 'train' AS train")
+    want = O.cross_neighbours(O.suffix_array(classes, O.pair_rarity(classes)))
+    array = O.suffix_array(classes, O.pair_rarity(classes), hot=5)
+    assert array.groupBy("pair", "cell").count().agg({"count": "max"}).first()[0] < 60
+    assert set(O.cross_neighbours(array).collect()) == set(want.collect()) and want.count() == 1200
 
 
 def test_overlaps_hot_group(spark):
