@@ -11,7 +11,7 @@ from ..runtime import table
 from . import copies, groups, languages, leaks, lookalikes, overlaps, packing, samples, sentences
 
 
-def _latest(df: DataFrame, key: str, order: str, *cols: Column) -> DataFrame:
+def _latest(df: DataFrame, key: str, order: str, *cols: Column | str) -> DataFrame:
     """The last delivery of each ``key`` by ``order``; among equal ones that with the greatest columns."""
     picked = F.max(F.struct(F.col(order), *cols))
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(picked.alias("x")).select(key, "x.*").drop(order)
@@ -103,8 +103,8 @@ def p4_sentence_units(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _sample(spark: SparkSession, sf: str) -> samples.CalibratedSample:
-    train = table(spark, sf, "evaluation_example").where("lower(trim(split)) = 'train'")
-    fields = {"text_register": F.array("text_register"), "emotion": F.array("emotion.value"), "phenomena": F.col("phenomena")}
+    train = _latest(table(spark, sf, "evaluation_example"), "id", "ingested_at", "split", "text_register", F.col("emotion.value").alias("emotion"), "phenomena").where("lower(trim(split)) = 'train'")
+    fields = {"text_register": F.array("text_register"), "emotion": F.array("emotion"), "phenomena": F.col("phenomena")}
     return samples.calibrated_sample(train, table(spark, sf, "sampling_target"), fields)
 
 

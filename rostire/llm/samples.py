@@ -7,12 +7,15 @@ filled up after the draw and gaps reported.
 * Records fall into membership patterns (which of a plan's categories they have). The counts of the
   patterns, aggregated with map-side combining, are sufficient for all moments; they stay distributed
   and are only brought to the driver while they are at most ``PATTERNS``.
-* Categories that cannot fill their target are taken whole; floors raise the targets of small ones.
+* What a goal can reach at all is the limit of its moment as its multiplier grows (``ceilings``). A category whose
+  ceiling is below its target or floor is unmet and taken whole; floors raise the targets of small ones. Where
+  single goals can be reached but not together, the report says so (``conflict``) and gives what is expected.
 * The pivotal method runs within hash partitions and passes one undecided record on from each; those
   few meet in a last task. Draws depend on ids and the seed only, so a lost task repeats itself.
 
-Edge cases: null categories belong to none; a record counts once per id and for each of its distinct
-phenomena; targets without records are reported; empty tables give an empty sample and full gaps.
+Edge cases: null categories belong to none; a record counts once per id (of unequal deliveries that with the least
+categories) and for each of its distinct phenomena; targets without records or of an unknown field are reported
+as gaps; empty tables give an empty sample and full gaps.
 """
 
 from __future__ import annotations
@@ -76,6 +79,11 @@ def features(masks: np.ndarray, free: list[int], sized: bool) -> np.ndarray:
     return np.stack([np.ones(len(masks)) if sized else (masks == 0).astype(float), *(((masks >> k) & 1).astype(float) for k in free)], axis=1)
 
 
+def ceilings(moments: Callable, width: int) -> np.ndarray:
+    """What the totals of ``width`` categories can reach: the moments where all multipliers of the dual are at their limit."""
+    return np.round(moments(np.append(0.0, np.full(width, 80.0)))[0][1:]).astype(np.int64)
+
+
 def calibrate(moments: Callable, goal: np.ndarray) -> np.ndarray:
     """Newton iterations on the dual: ``moments(lam)`` gives the expected totals and their derivative."""
     lam = np.zeros(len(goal))
@@ -99,8 +107,14 @@ def calibrate(moments: Callable, goal: np.ndarray) -> np.ndarray:
     return lam
 
 
-def _moments_of(patterns: DataFrame, plan: Plan, free: list[int], taken: int, base: float, sized: bool) -> Callable:
-    """Moments over the patterns that are not taken whole."""
+def few_patterns(patterns: DataFrame, plan: Plan) -> tuple[np.ndarray, np.ndarray] | None:
+    """Masks and counts of a plan's patterns; None if they are more than PATTERNS."""
+    few = patterns.where(F.col("plan") == plan.name).select("mask", "n").limit(PATTERNS + 1).collect()
+    return None if len(few) > PATTERNS else (np.array([r["mask"] for r in few], dtype=np.int64), np.array([r["n"] for r in few], dtype=float))
+
+
+def _moments_of(patterns: DataFrame, few: tuple[np.ndarray, np.ndarray] | None, plan: Plan, free: list[int], taken: int, base: float, sized: bool) -> Callable:
+    """Moments over the patterns that are not taken whole, ``few`` if they are."""
 
     def of(masks: np.ndarray, n: np.ndarray, lam: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = features(masks, free, sized)
@@ -108,11 +122,10 @@ def _moments_of(patterns: DataFrame, plan: Plan, free: list[int], taken: int, ba
         w = n * np.where(p < 1, p, 0.0)
         return (n * p) @ x, (x * w[:, None]).T @ x
 
+    if few is not None:
+        free_of = (few[0] & taken) == 0
+        return lambda lam: of(few[0][free_of], few[1][free_of], lam)
     open_ = patterns.where((F.col("plan") == plan.name) & (F.col("mask").bitwiseAND(F.lit(taken).cast("long")) == 0)).select("mask", "n")
-    few = open_.limit(PATTERNS + 1).collect()
-    if len(few) <= PATTERNS:
-        masks, n = np.array([r["mask"] for r in few], dtype=np.int64), np.array([r["n"] for r in few], dtype=float)
-        return lambda lam: of(masks, n, lam)
 
     def spread(lam: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -208,17 +221,20 @@ def calibrated_sample(records: DataFrame, targets: DataFrame, fields: dict[str,
 
     ``fields`` gives for each field name an array of the categories of a record. A target is met if the
     records suffice: ``unmet`` marks categories with fewer records than N * sample * target, exactly,
-    or fewer than their floor; ``short`` those with fewer than their floor in the sample.
+    or fewer than their floor; ``short`` those with fewer than their floor in the sample; ``conflict`` those whose
+    goal could be reached alone, but not beside the others'.
     """
     spark = records.sparkSession
     tidy = lambda a: F.array_distinct(F.transform(F.filter(a, lambda x: x.isNotNull()), lambda x: F.lower(F.trim(x))))
     slim = records.select(F.col(id_col).cast("string").alias("id"), *[F.coalesce(tidy(c), F.array().cast("array<string>")).alias(f"cat_{f}") for f, c in fields.items()])
-    plans = [p for p in plans_of(targets) if set(p.fields) <= set(fields)]
+    plans = plans_of(targets)
+    for f in sorted({f for p in plans for f in p.fields} - set(fields)):  # no record has a category of an unknown field
+        slim = slim.withColumn(f"cat_{f}", F.array().cast("array<string>"))
     if not plans:
         empty = spark.createDataFrame([], "plan_name string, id string")
-        return CalibratedSample(empty, spark.createDataFrame([], "plan_name string, category string, records long, available long, target double, floor long, expected double, sampled long, unmet boolean, short boolean"))
+        return CalibratedSample(empty, spark.createDataFrame([], "plan_name string, category string, records long, available long, target double, floor long, expected double, sampled long, unmet boolean, short boolean, conflict boolean"))
     per = F.array(*[F.struct(F.lit(p.name).alias("plan"), p.mask().alias("mask")) for p in plans])
-    masks = cut(slim.where("id IS NOT NULL").dropDuplicates(["id"]).select("id", F.explode(per).alias("x")).select("id", "x.plan", "x.mask"), "masks")
+    masks = cut(slim.where("id IS NOT NULL").groupBy("id").agg(F.min(per).alias("per")).select("id", F.explode("per").alias("x")).select("id", "x.plan", "x.mask"), "masks")
     patterns = cut(masks.groupBy("plan", "mask").agg(F.count("*").alias("n")), "patterns")
     width = max(len(p.share) for p in plans)
     bit = [F.sum(F.when(F.expr(f"(mask & {1 << k}L) <> 0"), F.col("n")).otherwise(0)).alias(f"b{k}") for k in range(width)]
@@ -228,22 +244,23 @@ def calibrated_sample(records: DataFrame, targets: DataFrame, fields: dict[str,
     for p in plans:
         s = sums.get(p.name)
         total = s["total"] if s else 0
-        have = np.array([s[f"b{k}"] for k in range(len(p.share))] if s else [0] * len(p.share), dtype=np.int64)
+        size = total * p.sample / 1000
+        base = min(1.0, max(p.sample / 1000, 1e-9))
+        few = few_patterns(patterns, p)
+        have = ceilings(_moments_of(patterns, few, p, list(range(len(p.share))), 0, base, True), len(p.share))
         exact = [int(total) * int(p.sample) * int(t) for t in p.share]  # in millionths of a record
         unmet = [int(h) * 1_000_000 < e or int(h) < int(m) for h, e, m in zip(have, exact, p.least)]
         goal = np.maximum(np.array(exact) / 1e6, np.minimum(p.least, have))
         whole = [k for k in range(len(have)) if have[k] and goal[k] >= have[k]]
         taken = sum(1 << k for k in whole)
         free = [k for k in range(len(have)) if have[k] and k not in whole]
-        size = total * p.sample / 1000
-        base = min(1.0, max(p.sample / 1000, 1e-9))
         expected, lam, sized = np.minimum(goal, have).astype(float), np.zeros(len(free) + 1), True
         if total:
             # What the categories taken whole bring to the others counts against their goals.
             cross = patterns.where((F.col("plan") == p.name) & (F.col("mask").bitwiseAND(F.lit(taken).cast("long")) != 0))
             given = cross.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), *bit).first()
             rest = np.array([max(0.0, size - given["total"]), *(max(0.0, goal[k] - (given[f"b{k}"] or 0)) for k in free)])
-            moments = _moments_of(patterns, p, free, taken, base, sized)
+            moments = _moments_of(patterns, few, p, free, taken, base, sized)
             lam = calibrate(moments, rest)
             got = moments(lam)[0]
             if np.abs((rest - got) / np.maximum(1.0, rest)).max() > 1e-3:
@@ -251,7 +268,7 @@ def calibrated_sample(records: DataFrame, targets: DataFrame, fields: dict[str,
                 sized = False
                 none = patterns.where((F.col("plan") == p.name) & (F.col("mask") == 0)).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
                 rest[0] = min(float(none), max(0.0, rest[0] - rest[1:].sum()))
-                moments = _moments_of(patterns, p, free, taken, base, sized)
+                moments = _moments_of(patterns, few, p, free, taken, base, sized)
                 lam = calibrate(moments, rest)
                 got = moments(lam)[0]
             for j, k in enumerate(free):
@@ -261,7 +278,7 @@ def calibrated_sample(records: DataFrame, targets: DataFrame, fields: dict[str,
             inner = inner + F.when(F.expr(f"(mask & {1 << k}L) <> 0"), F.lit(float(lam[j + 1]))).otherwise(F.lit(0.0))
         own = F.when(F.expr(f"(mask & {taken}L) <> 0"), F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.lit(base) * F.exp(F.greatest(F.lit(-40.0), F.least(F.lit(40.0), inner)))))
         probs = F.when(F.col("plan") == p.name, own).otherwise(probs)
-        lines += [(p.name, p.written[k], k, int(total), int(have[k]), exact[k] / 1e6, int(p.least[k]), float(expected[k]), bool(unmet[k])) for k in range(len(have))]
+        lines += [(p.name, p.written[k], k, int(total), int(have[k]), exact[k] / 1e6, int(p.least[k]), float(expected[k]), bool(unmet[k]), bool(not unmet[k] and abs(expected[k] - goal[k]) > max(0.5, 1e-3 * goal[k]))) for k in range(len(have))]
 
     parts = shuffle_width(spark)
 
@@ -285,13 +302,13 @@ def calibrated_sample(records: DataFrame, targets: DataFrame, fields: dict[str,
     left = one.where("p < 1").repartition(1).sortWithinPartitions("plan", "id")  # one row a partition and plan
     sample = cut(one.where("p >= 1").select("plan", "id").unionByName(left.mapInPandas(second, kind).select("plan", "id")), "sample")
 
-    sample = topped_up(sample, masks, {(name, k): min(least, have) for name, _, k, _, have, _, least, _, _ in lines}, seed)
+    sample = topped_up(sample, masks, {(name, k): min(least, have) for name, _, k, _, have, _, least, *_ in lines}, seed)
 
     got = sample.join(masks, ["plan", "id"]).groupBy("plan").agg(*_bit_counts(width))
     long = got.select("plan", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"b{k}").alias("sampled")) for k in range(width)])).alias("x")).select("plan", "x.k", "x.sampled")
-    head = spark.createDataFrame(lines, "plan_name string, category string, k int, records long, available long, target double, floor long, expected double, unmet boolean")
+    head = spark.createDataFrame(lines, "plan_name string, category string, k int, records long, available long, target double, floor long, expected double, unmet boolean, conflict boolean")
     report = head.join(long, (head["plan_name"] == long["plan"]) & (head["k"] == long["k"]), "left").select(
         "plan_name", "category", "records", "available", "target", "floor", F.round("expected", 3).alias("expected"), F.coalesce("sampled", F.lit(0)).cast("long").alias("sampled"), "unmet",
-        (F.coalesce("sampled", F.lit(0)) < F.col("floor")).alias("short"),
+        (F.coalesce("sampled", F.lit(0)) < F.col("floor")).alias("short"), "conflict",
     )
     return CalibratedSample(sample.select(F.col("plan").alias("plan_name"), "id"), report)

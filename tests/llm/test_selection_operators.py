@@ -49,6 +49,21 @@ def test_sample_empty(spark):
     assert draw(spark, df, []).report.count() == 0
 
 
+def test_gaps_of_unknown_fields_and_conflicts(spark):
+    df, _ = records(spark)
+    s = draw(spark, df, [("a", "nowhere", "x", 100, 200, 0), ("a", "reg", "big", 100, 500, 1), ("c", "reg", "big", 500, 100, 0), ("c", "reg", "mid", 500, 100, 0)])
+    rep = {(r["plan_name"], r["category"]): r for r in s.report.collect()}
+    assert rep["a", "x"]["unmet"] and rep["a", "x"]["available"] == 0 and not rep["a", "x"]["conflict"]
+    # Both goals can be reached, but then the sample cannot have its size: the shares go first.
+    assert not rep["c", "big"]["unmet"] and not rep["c", "mid"]["unmet"]
+    # p and its own double cannot both have their goals.
+    twice = draw(spark, df.withColumn("reg", F.lit("one")), [("d", "reg", "one", 100, 900, 0), ("d", "ph", "p", 100, 100, 0), ("d", "ph", "none", 100, 100, 0)])
+    assert [r["category"] for r in twice.report.where("unmet").collect()] == ["none"]
+    same = spark.createDataFrame([(f"i{k}", "u", ["v"]) for k in range(500)], "id string, reg string, ph array<string>")
+    both = draw(spark, same, [("e", "reg", "u", 100, 900, 0), ("e", "ph", "v", 100, 100, 0)])
+    assert both.report.where("conflict").count() >= 1 and both.report.where("unmet").count() == 0
+
+
 def test_floors_hold_after_the_draw(spark):
     rng = random.Random(5)
     rows = [(f"r{k}", "rare" if k < 60 else "much", rng.sample(["p", "q", "s", "t", "u"], rng.randrange(0, 5))) for k in range(2000)]
