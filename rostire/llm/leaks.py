@@ -6,8 +6,9 @@ up in it, hits are verified word by word, and the spans or documents can be remo
 * A document is only scanned, never shuffled: the leak of ``RUN`` successive words holds a whole
   window of ``RUN // 2`` words that starts at a multiple of it, so every such window is looked up and
   a hit is extended in both directions. Nothing is missed and most positions are never hashed.
-* The held-out side is a stated query set. It is broadcast in blocks of at most ``BLOCK_WORDS`` words
-  (a few tens of MB), each held against all documents, so its size is bounded whatever the table holds.
+* The set is broadcast only while the items have at most ``HELD_CHARS`` characters in all, which is counted first. A
+  larger set stays distributed: its windows meet those of the documents in one join on their hash, and the pairs
+  of document and item that meet are verified with their texts. Either way the corpus is scanned once.
 
 Edge cases: null and empty texts hold nothing; items shorter than ``RUN`` words cannot leak; repeated
 items and documents give the same rows once; empty tables give no rows.
@@ -19,6 +20,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +28,8 @@ from .textform import consistent, word_spans, words_of
 
 #: Successive words that make a leak.
 RUN = 14
-#: Words of held-out text broadcast at a time.
-BLOCK_WORDS = 400_000
+#: Characters of held-out text that are broadcast at most (an index of a few tens of MB).
+HELD_CHARS = 2_500_000
 
 _SPAN = "{key} {kind}, item_id long, doc_from int, doc_to int, item_from int, item_to int, item_words int"
 
@@ -39,13 +41,11 @@ class ItemIndex:
         self.run, self.step = run, max(1, run // 2)
         self.items: list[tuple[int, list[str]]] = []
         self.at: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        self.words = 0
 
     def add(self, item_id: int, words: list[str]) -> None:
         if len(words) < self.run:
             return
         self.items.append((item_id, words))
-        self.words += len(words)
         for i in range(len(words) - self.step + 1):
             self.at[" ".join(words[i : i + self.step])].append((len(self.items) - 1, i))
 
@@ -69,35 +69,62 @@ class ItemIndex:
         return sorted(found)
 
 
-def _blocks(items: DataFrame, item_id: str, text: str, run: int, block_words: int) -> Iterator[ItemIndex]:
-    index = ItemIndex(run)
-    for row in items.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct().orderBy("i", "t").toLocalIterator():
-        index.add(row["i"], words_of(row["t"]))
-        if index.words >= block_words:
-            yield index
-            index = ItemIndex(run)
-    yield index
+_SPANS = ["doc_id", "item_id", "doc_from", "doc_to", "item_from", "item_to", "item_words"]
 
 
-def leaked_spans(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", run: int = RUN, block_words: int = BLOCK_WORDS) -> DataFrame:
+def leaked_spans(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", run: int = RUN, held_chars: int = HELD_CHARS) -> DataFrame:
     """Every maximal run of at least ``run`` words that a document shares with an item."""
-    sc = docs.sparkSession.sparkContext
-    kind = docs.schema[doc_id].dataType.simpleString()
+    kind = _SPAN.format(key="doc_id", kind=docs.schema[doc_id].dataType.simpleString())
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text IS NOT NULL")
-    out = None
-    for block in _blocks(items, item_id, item_text, run, block_words):
-        held = sc.broadcast((block.run, block.step, block.items, dict(block.at)))
+    held = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("item_text")).where("item_id IS NOT NULL AND item_text IS NOT NULL").distinct()
+    if (held.agg(F.sum(F.length("item_text") + 1)).first()[0] or 0) > held_chars:
+        return _joined_spans(slim, held, run, kind)
+    index = ItemIndex(run)
+    for row in held.orderBy("item_id", "item_text").collect():  # at most HELD_CHARS characters
+        index.add(row["item_id"], words_of(row["item_text"]))
+    shared = docs.sparkSession.sparkContext.broadcast((index.items, dict(index.at)))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = ItemIndex(run)
+        own.items, own.at = shared.value
+        for b in batches:
+            rows = [(d, *s) for d, t in zip(b["doc_id"], b["text"]) for s in own.spans(words_of(t))]
+            yield pd.DataFrame(rows, columns=_SPANS)
+
+    return slim.mapInPandas(scan, kind)
+
 
-        def scan(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            index = ItemIndex()
-            index.run, index.step, index.items, index.at = held.value
+def _joined_spans(slim: DataFrame, held: DataFrame, run: int, kind: str) -> DataFrame:
+    """Leaked spans where the windows of the items are too many to be broadcast."""
+    step = ItemIndex(run).step
+
+    def windows(key: str, text: str, every: int):  # noqa: ANN202
+        def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                rows = [(d, *s) for d, t in zip(b["doc_id"], b["text"]) for s in index.spans(words_of(t))]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "doc_from", "doc_to", "item_from", "item_to", "item_words"])
+                rows = []
+                for k, t in zip(b[key], b[text]):
+                    ws = words_of(t)
+                    if len(ws) >= run:
+                        rows += {(k, xxhash.xxh64_intdigest(" ".join(ws[i : i + step])) - (1 << 63)) for i in range(0, len(ws) - step + 1, every)}
+                yield pd.DataFrame(rows, columns=[key, "window"])
+
+        return cut_up
+
+    doc = kind.split(", ")[0]
+    mine = slim.mapInPandas(windows("doc_id", "text", step), f"{doc}, window long")
+    theirs = held.mapInPandas(windows("item_id", "item_text", 1), "item_id long, window long")
+    met = mine.join(theirs, "window").select("doc_id", "item_id").distinct()
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = set()
+            for d, t, i, x in zip(b["doc_id"], b["text"], b["item_id"], b["item_text"]):
+                index = ItemIndex(run)
+                index.add(i, words_of(x))
+                rows |= {(d, *s) for s in index.spans(words_of(t))}
+            yield pd.DataFrame(list(rows), columns=_SPANS)
 
-        found = slim.mapInPandas(scan, _SPAN.format(key="doc_id", kind=kind))
-        out = found if out is None else out.unionByName(found)
-    return out
+    return met.join(slim, "doc_id").join(held, "item_id").mapInPandas(verify, kind)
 
 
 def leak_report(spans: DataFrame) -> DataFrame:
@@ -125,7 +152,7 @@ def remove_leaks(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text
     """Documents concerned, cleaned: ``doc_id, removed_words, text``.
 
     The leaked words are cut out; if they are more than ``most_share`` of a document, its text is null.
-    Spans of a document come together by its id: they are at most as many as its words.
+    Of deliveries of a document with unequal texts the least text is cleaned. Spans of a document come together by its id: they are at most as many as its words.
     """
     merged = spans.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("doc_from", "doc_to"))).alias("spans"))
 
@@ -133,10 +160,11 @@ def remove_leaks(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text
     def cut_out(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
         rows = []
         for t, s in zip(texts, found):
-            pairs = [(x["doc_from"], x["doc_to"]) for x in s]
+            n = len(words_of(t))
+            pairs = [(x["doc_from"], x["doc_to"]) for x in s if x["doc_to"] <= n]
             gone = len({i for a, b in pairs for i in range(a, b)})
-            rows.append((gone, None if gone > most_share * max(1, len(words_of(t))) else without_spans(t, pairs)))
+            rows.append((gone, None if gone > most_share * max(1, n) else without_spans(t, pairs)))
         return pd.DataFrame(rows, columns=["removed_words", "text"])
 
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text IS NOT NULL").dropDuplicates(["doc_id"])
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text IS NOT NULL").groupBy("doc_id").agg(F.min("text").alias("text"))
     return slim.join(merged, "doc_id").select("doc_id", cut_out("text", "spans").alias("x")).select("doc_id", "x.removed_words", "x.text")

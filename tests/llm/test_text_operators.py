@@ -95,8 +95,10 @@ def test_leaks_match_brute_force(spark):
     want = {(d, i) for d, t, _ in docs for i, u in items if windows(t) & windows(u)}
     ddf = spark.createDataFrame(docs, "doc_id long, text string, item_id string")
     idf = spark.createDataFrame(items, "item_id long, text string")
-    for block in (100, K.BLOCK_WORDS):
-        spans = K.leaked_spans(ddf, idf, block_words=block)
+    every = [sorted(map(tuple, K.leaked_spans(ddf, idf, held_chars=most).collect())) for most in (0, K.HELD_CHARS)]
+    assert every[0] == every[1]
+    for most in (0, K.HELD_CHARS):
+        spans = K.leaked_spans(ddf, idf, held_chars=most)
         assert {(r["doc_id"], r["item_id"]) for r in spans.select("doc_id", "item_id").collect()} == want and want
     cleaned = K.remove_leaks(ddf, spans, most_share=0.99).collect()
     again = spark.createDataFrame([(r["doc_id"], r["text"]) for r in cleaned], "doc_id long, text string")
