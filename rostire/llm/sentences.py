@@ -1,9 +1,11 @@
 """Problem 4: sentence boundaries across languages and scripts.
 
-Method: the places where a sentence could end are tagged boundary or inside by a linear-chain model
-(log-linear emissions over the words, marks and scripts around a place, plus tag transitions) with
-Viterbi decoding. It is trained on records whose boundaries are given, and again on the same records
-with their end marks stripped, which is what teaches it scripts and texts that write none.
+Method: characters are tagged boundary or inside by a linear-chain conditional random field with Viterbi decoding.
+Only characters at which a sentence could end at all, before a gap or after an end mark (``places``), are free;
+all others are inside. Emissions are log-linear in the words, marks and scripts around a place; they and the
+transitions between tags are trained together by the likelihood of whole tag sequences (forward-backward), on
+records whose boundaries are given and again on the same records with their end marks stripped, which is what
+teaches the model scripts and texts that write none.
 
 * The model is fitted on at most ``TRAIN_ROWS`` labelled records, taken in the order of a hash of
   their key; rows whose given boundaries cannot be right (inside a word, gaps with text) are left
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from .textform import consistent, folded
 
 #: Labelled records the model is fitted on at most.
-TRAIN_ROWS = 4500
+TRAIN_ROWS = 6000
 #: Rounds over them, and occurrences a feature needs.
 EPOCHS, LEAST = 5, 2
 
@@ -46,6 +48,8 @@ _ENDS = set(_PAIRS.values())
 
 #: Feature of a place that can be no boundary: marks that close what stands before it.
 NEVER = "never"
+#: Emission of a fixed tag, and features of a place at most.
+FIXED, MOST = -1e6, 48
 #: Used only where nothing is labelled.
 PRIOR = {"bias": -4.0, "m=.": 5.0, "m=!": 5.0, "m=?": 5.0, "m=…": 4.0, "m=...": 4.0, "m=。": 8.0, "m=।": 8.0, "m=؟": 8.0, "c=a": -4.0, "s=TT": 8.0, "s=T ": 8.0, "nosp,L": -8.0}
 
@@ -186,6 +190,28 @@ def stripped(text: str, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[i
     return "".join(out), new
 
 
+def best_tags(emissions: list[float], forced: list[bool], moves: list[list[float]]) -> list[int]:
+    """Best tag sequence (Viterbi) with the forced boundaries."""
+    if not emissions:
+        return []
+    (m00, m01), (m10, m11) = moves
+    s0, s1 = 0.0, -math.inf  # the text starts like the place after an inside tag
+    back = []
+    for e, on in zip(emissions, forced):
+        a0, b0 = s0 + m00, s1 + m10
+        a1, b1 = s0 + m01, s1 + m11
+        back.append((a0 < b0, a1 < b1))
+        s0, s1 = max(a0, b0), max(a1, b1) + e
+        if on:
+            s0 = -math.inf
+    tag = int(s1 > s0)
+    out = [tag]
+    for k in range(len(emissions) - 1, 0, -1):
+        tag = int(back[k][tag])
+        out.append(tag)
+    return out[::-1]
+
+
 class Model:
     """Emission weights by feature name, and transition weights between tags."""
 
@@ -194,28 +220,11 @@ class Model:
 
     def emissions(self, text: str, where: list[tuple[int, int]]) -> list[float]:
         get = self.weights.get
-        return [-1e6 if NEVER in fs else sum(get(f, 0.0) for f in fs) for fs in features(text, where)]
+        return [FIXED if NEVER in fs else sum(get(f, 0.0) for f in fs) for fs in features(text, where)]
 
     def tags(self, text: str, where: list[tuple[int, int]]) -> list[int]:
-        """Best tag sequence (Viterbi); a blank line is always a boundary."""
-        if not where:
-            return []
-        (m00, m01), (m10, m11) = self.moves
-        s0, s1 = 0.0, -math.inf  # the text starts like the place after an inside tag
-        back = []
-        for (a, b), e in zip(where, self.emissions(text, where)):
-            a0, b0 = s0 + m00, s1 + m10
-            a1, b1 = s0 + m01, s1 + m11
-            back.append((a0 < b0, a1 < b1))
-            s0, s1 = max(a0, b0), max(a1, b1) + e
-            if _BLANK_LINE.search(text, a, b):
-                s0 = -math.inf
-        tag = int(s1 > s0)
-        out = [tag]
-        for k in range(len(where) - 1, 0, -1):
-            tag = int(back[k][tag])
-            out.append(tag)
-        return out[::-1]
+        """Best tag sequence; a blank line is always a boundary."""
+        return best_tags(self.emissions(text, where), [bool(_BLANK_LINE.search(text, a, b)) for a, b in where], self.moves)
 
     def spans(self, text: str | None) -> list[tuple[int, int]]:
         """Start and end of each sentence, without outer whitespace."""
@@ -227,71 +236,123 @@ class Model:
         return list(zip(starts, [*(a for a, _ in edges), len(text.rstrip())]))
 
 
-def _fit(rows: list[tuple[list[list[str]], list[int]]], epochs: int = EPOCHS) -> Model:
-    """Log-linear emissions by stochastic gradient (Adagrad), transitions from the tags' counts."""
-    counts = Counter(f for fs, _ in rows for x in fs for f in x)
-    index = {f: i for i, f in enumerate(sorted(f for f, n in counts.items() if n >= LEAST))}
-    x, y = [], []
-    for fs, tags in rows:
-        for f, t in zip(fs, tags):
-            if NEVER in f:
-                continue
-            x.append([index[k] for k in f if k in index])
-            y.append(t)
-    if not index or not any(y):
-        return Model(dict(PRIOR), [[0.0, 0.0], [0.0, 0.0]])
-    width = max(map(len, x))
-    none = len(index)
-    m = np.full((len(x), width), none, dtype=np.int32)
-    for i, r in enumerate(x):
-        m[i, : len(r)] = r
-    y = np.array(y, dtype=np.float64)
-    w, g2 = np.zeros(none + 1), np.full(none + 1, 1e-2)
+class Sequence:
+    """A labelled text for training: feature numbers, tags, and which places are never or always boundaries."""
+
+    def __init__(self, ids: np.ndarray, tags: list[int], never: np.ndarray, always: np.ndarray) -> None:
+        self.ids, self.tags, self.never, self.always = ids, np.array(tags, dtype=np.float64), never, always
+
+    def emissions(self, w: np.ndarray) -> np.ndarray:
+        return np.where(self.never, FIXED, np.where(self.always, -FIXED, w[self.ids].sum(1)))
+
+
+def marginals(e: np.ndarray, real: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probability of a boundary at each place of padded sequences, and the expected counts of the moves.
+
+    ``e`` are emissions by sequence and place, ``real`` says which places exist; sequences start after an inside tag.
+    """
+    n, t = e.shape
+    alpha, beta = np.zeros((t, 2, n)), np.zeros((t, 2, n))
+    alpha[0] = moves[0][:, None]
+    alpha[0, 1] += e[:, 0]
+    for k in range(1, t):
+        for j in (0, 1):
+            alpha[k, j] = np.logaddexp(alpha[k - 1, 0] + moves[0, j], alpha[k - 1, 1] + moves[1, j]) + (e[:, k] if j else 0.0)
+        alpha[k] = np.where(real[:, k], alpha[k], alpha[k - 1])
+    for k in range(t - 2, -1, -1):
+        on = beta[k + 1, 1] + e[:, k + 1]
+        for i in (0, 1):
+            beta[k, i] = np.where(real[:, k + 1], np.logaddexp(beta[k + 1, 0] + moves[i, 0], on + moves[i, 1]), 0.0)
+    whole = np.logaddexp(alpha[-1, 0], alpha[-1, 1])
+    p = np.exp(np.minimum(alpha + beta - whole, 0.0))
+    counts = np.zeros((2, 2))
+    counts[0] += p[0].sum(1)
+    for i in (0, 1):
+        for j in (0, 1):
+            x = alpha[:-1, i] + moves[i, j] + beta[1:, j] - whole + (e[:, 1:].T if j else 0.0)
+            counts[i, j] += np.exp(np.minimum(x, 0.0))[real[:, 1:].T].sum()
+    return p[:, 1].T, counts
+
+
+def _fit(data: list[Sequence], width: int, epochs: int = EPOCHS, batch: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of ``width`` features and moves that maximise the likelihood of the tag sequences (Adagrad).
+
+    Feature 0 is none and keeps the weight 0.
+    """
+    w, g2 = np.zeros(width), np.full(width, 1e-2)
+    moves, m2 = np.zeros((2, 2)), np.full((2, 2), 1e-2)
+    data = [d for d in data if len(d.tags)]
     order = np.random.default_rng(7)
     for _ in range(epochs):
-        perm = order.permutation(len(y))
-        for k in range(0, len(y), 384):
-            b = perm[k : k + 384]
-            rows_b = m[b]
-            z = w[rows_b].sum(1)
-            err = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[b]
-            flat = rows_b.ravel()
-            ids, inv = np.unique(flat, return_inverse=True)
-            grad = np.bincount(inv, np.repeat(err, width), len(ids)) + 1e-4 * w[ids] * np.bincount(inv)
+        mixed = order.permutation(len(data))
+        for k in range(0, len(data), batch):
+            lot = [data[i] for i in mixed[k : k + batch]]
+            real = np.zeros((len(lot), max(len(d.tags) for d in lot)), dtype=bool)
+            for i, d in enumerate(lot):
+                real[i, : len(d.tags)] = True
+            e, y = np.zeros(real.shape), np.zeros(real.shape)
+            e[real], y[real] = np.concatenate([d.emissions(w) for d in lot]), np.concatenate([d.tags for d in lot])
+            p, expected = marginals(e, real, moves)
+            err = (p - y)[real]
+            err[np.concatenate([d.never | d.always for d in lot])] = 0.0
+            rows = np.concatenate([d.ids for d in lot])
+            ids, inv = np.unique(rows.ravel(), return_inverse=True)
+            grad = np.bincount(inv, np.repeat(err, rows.shape[1]), len(ids)) + 1e-4 * w[ids] * np.bincount(inv)
             g2[ids] += grad * grad
             w[ids] -= 0.3 * grad / np.sqrt(g2[ids])
-            w[none] = 0.0
-    pairs = Counter((a, b) for _, tags in rows for a, b in zip([0, *tags], tags))
-    n = sum(pairs.values())
-    one = (pairs[0, 1] + pairs[1, 1] + 1) / (n + 2)
-
-    def gain(a: int, b: int) -> float:
-        here = (pairs[a, b] + 1) / (pairs[a, 0] + pairs[a, 1] + 2)
-        return 0.5 * math.log(here / (one if b else 1 - one))
-
-    return Model({f: float(w[i]) for f, i in index.items() if w[i]}, [[gain(0, 0), gain(0, 1)], [gain(1, 0), gain(1, 1)]])
+            w[0] = 0.0
+            before = np.concatenate([np.append(0, d.tags[:-1]) for d in lot])
+            seen = np.array([[((before == a) & (y[real] == b)).sum() for b in (0, 1)] for a in (0, 1)])
+            m2 += (expected - seen) ** 2
+            moves -= 0.1 * (expected - seen) / np.sqrt(m2)
+    return w, moves
 
 
 def train(labelled: list[tuple[str, list[tuple[int, int]]]]) -> Model:
     """Model from texts with their boundaries, some of which may be wrong."""
-    plain, extra = [], []
-    for k, (text, spans) in enumerate(labelled):
+    number: dict[str, int] = {"": 0}  # features are numbered at once: their names are held once only
+    get = number.setdefault
+
+    def sequence(text: str, spans: list[tuple[int, int]]) -> Sequence | None:
         where = places(text)
         tags = gold_tags(text, spans, where)
         if tags is None:
+            return None
+        named = features(text, where)
+        ids = np.zeros((len(named), MOST), dtype=np.int32)
+        for i, fs in enumerate(named):
+            ids[i, : len(fs)] = [get(f, len(number)) for f in fs[:MOST]]
+        return Sequence(ids, tags, np.array([NEVER in fs for fs in named], dtype=bool), np.array([bool(_BLANK_LINE.search(text, a, b)) for a, b in where], dtype=bool))
+
+    plain, extra = [], []
+    for k, (text, spans) in enumerate(labelled):
+        own = sequence(text, spans)
+        if own is None:
             continue
-        plain.append((text, where, features(text, where), tags))
+        plain.append(own)
         if len(spans) > 1 and k % 3:
             bare, new = stripped(text, spans)
             if k % 3 == 2:
                 bare = bare.lower() if len(bare.lower()) == len(bare) else bare
-            there = places(bare)
-            tags = gold_tags(bare, new, there)
-            if tags is not None:
-                extra.append((features(bare, there), tags))
-    first = _fit([(f, t) for _, _, f, t in plain] + extra, max(2, EPOCHS // 2))
-    kept = [(f, t) for text, where, f, t in plain if sum(a != b for a, b in zip(first.tags(text, where), t)) == 0 or not any(abs(e) > 3 and (e > 0) != b for e, b in zip(first.emissions(text, where), t))]
-    return _fit(kept + extra)
+            own = sequence(bare, new)
+            if own is not None:
+                extra.append(own)
+    if not any(d.tags.any() for d in plain + extra):
+        return Model(dict(PRIOR), [[0.0, 0.0], [0.0, 0.0]])
+    n = np.bincount(np.concatenate([d.ids.ravel() for d in plain + extra]), minlength=len(number))
+    small = np.where(n >= LEAST, np.cumsum(n >= LEAST) - 1, 0)  # rarer features become none
+    names = [f for f, k in zip(number, n) if k >= LEAST]
+    number.clear()
+    for d in plain + extra:
+        d.ids = small[d.ids].astype(np.int32)
+    w, moves = _fit(plain + extra, len(names), max(2, EPOCHS // 2))
+    kept = []
+    for d in plain:
+        e = d.emissions(w)
+        if (np.array(best_tags(e.tolist(), d.always.tolist(), moves.tolist())) == d.tags).all() or not ((np.abs(e) > 3) & ((e > 0) != (d.tags > 0))).any():
+            kept.append(d)
+    w, moves = _fit(kept + extra, len(names))
+    return Model({f: float(x) for f, x in zip(names[1:], w[1:]) if x}, moves.tolist())
 
 
 def fit_segmenter(df: DataFrame, key: str = "id", text: str = "text", bounds: str = "sentence_boundaries", rows: int = TRAIN_ROWS) -> Model:

@@ -240,3 +240,45 @@ def test_rejected_documents_come_out_as_und(spark):
     langs = G.document_languages(G.language_segments(df, c))
     assert sorted((r["doc_id"], r["lang"]) for r in langs.collect()) == [(1, "und"), (2, "aa")]
     assert [(r["doc_id"], r["lang"]) for r in G.label_cases(langs).collect()] == [(2, "aa")]
+
+
+def test_marginals_match_enumeration():
+    from itertools import product
+
+    rng = np.random.default_rng(4)
+    e, moves = rng.normal(size=(5, 6)), rng.normal(size=(2, 2))
+    size = [6, 3, 1, 5, 2]
+    real = np.array([[k < n for k in range(6)] for n in size])
+    p, counts = S.marginals(np.where(real, e, 0.0), real, moves)
+    want = np.zeros((2, 2))
+    for i, n in enumerate(size):
+        paths = list(product((0, 1), repeat=n))
+        score = np.array([sum(e[i, k] * t + moves[a][t] for k, (a, t) in enumerate(zip((0, *x), x))) for x in paths])
+        prob = np.exp(score) / np.exp(score).sum()
+        assert np.allclose(p[i, :n], prob @ np.array(paths))
+        for x, q in zip(paths, prob):
+            for a, b in zip((0, *x), x):
+                want[a, b] += q
+    assert np.allclose(counts, want)
+
+
+def test_sentences_without_marks_or_spaces_between_words():
+    """Units of a script that writes no end marks are told by their spaces; one without spaces either by its marks."""
+    rng = random.Random(8)
+    first, rest = "กขค", "งจฉชซฌญ"
+    unit = lambda: rng.choice(first) + "".join(rng.choices(rest, k=rng.randrange(4, 12)))
+    rows = []
+    for _ in range(300):
+        text, spans = "", []
+        for u in (unit() for _ in range(rng.randrange(1, 6))):
+            text += " " if text else ""
+            spans.append((len(text), len(text) + len(u)))
+            text += u
+        rows.append((text, spans))
+        text, spans = "", []
+        for u in ("".join(rng.choices("山川田中", k=5)) + "。" for _ in range(3)):
+            spans.append((len(text), len(text) + len(u)))
+            text += u
+        rows.append((text, spans))
+    model = S.train(rows[:400])
+    assert sum(model.spans(t) == b for t, b in rows[400:]) / 200 > 0.95
