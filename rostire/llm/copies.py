@@ -31,10 +31,10 @@ from .textform import copy_key
 
 #: Distinct rows a bucket may hold before it is split.
 CAPACITY = 20_000
-#: Bytes of the first level; every further level doubles them.
-FIRST_BYTES = 8
-#: Distinct values a task counts before it passes its counts on.
-FLUSH = 50_000
+#: Bytes of the first level (JSON records agree in the first seven); every further level doubles them.
+FIRST_BYTES = 16
+#: Distinct values, and their bytes, that a task counts before it passes its counts on.
+FLUSH, FLUSH_BYTES = 50_000, 1 << 25
 STRIDE = 16
 
 
@@ -90,8 +90,9 @@ _COUNTED = "tbl string, canon binary, first_key string, n long"
 
 
 def _count_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of equal canonical bytes within a partition, passed on whenever FLUSH values are held."""
+    """Counts of equal canonical bytes within a partition, passed on whenever FLUSH values or FLUSH_BYTES are held."""
     held: dict[tuple, list] = {}
+    size = 0
 
     def out() -> pd.DataFrame:
         rows = [(t, c, *v) for (t, c), v in held.items()]
@@ -103,10 +104,12 @@ def _count_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             v = held.get((t, c))
             if v is None:
                 held[t, c] = [k, 1]
+                size += len(c)
             else:
                 v[0], v[1] = min(v[0], k), v[1] + 1
-        if len(held) >= FLUSH:
-            yield out()
+            if len(held) >= FLUSH or size >= FLUSH_BYTES:
+                size = 0
+                yield out()
     yield out()
 
 
@@ -161,17 +164,17 @@ def _count_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def radix_buckets(counted: DataFrame, capacity: int = CAPACITY, first: int = FIRST_BYTES) -> DataFrame:
     """``counted`` with the radix ``bucket`` of each row: its leading bytes, more of them where needed."""
-    whole = counted.withColumn("bucket", F.expr(f"substring(canon, 1, {first})"))
-    width = first
+    open_, done, width = counted.withColumn("bucket", F.expr(f"substring(canon, 1, {first})")), None, first
     while True:
-        sizes = whole.groupBy("tbl", "bucket").agg(F.count("*").alias("held"), F.max(F.length("canon")).alias("longest"))
-        big = sizes.where((F.col("held") > capacity) & (F.length("bucket") == width) & (F.col("longest") > width)).select("tbl", "bucket")
-        big = cut(big, "oversized")
+        sizes = open_.groupBy("tbl", "bucket").agg(F.count("*").alias("held"), F.max(F.length("canon")).alias("longest"))
+        big = cut(sizes.where((F.col("held") > capacity) & (F.length("bucket") == width) & (F.col("longest") > width)).select("tbl", "bucket"), "oversized")
         if big.isEmpty():
-            return whole
+            return open_ if done is None else done.unionByName(open_)
+        fits = open_.join(big, ["tbl", "bucket"], "left_anti")
+        done = fits if done is None else done.unionByName(fits)
         width *= 2
-        marked = whole.join(big.withColumn("split", F.lit(True)), ["tbl", "bucket"], "left")
-        whole = marked.withColumn("bucket", F.when(F.col("split"), F.expr(f"substring(canon, 1, {width})")).otherwise(F.col("bucket"))).drop("split")
+        # Only rows of oversized buckets go on to the next level.
+        open_ = cut(open_.join(big, ["tbl", "bucket"], "left_semi").withColumn("bucket", F.expr(f"substring(canon, 1, {width})")), "split")
 
 
 def copy_classes(records: DataFrame, capacity: int = CAPACITY, first: int = FIRST_BYTES) -> DataFrame:
@@ -193,10 +196,11 @@ def copy_classes(records: DataFrame, capacity: int = CAPACITY, first: int = FIRS
 def collapse(records: DataFrame, capacity: int = CAPACITY, first: int = FIRST_BYTES) -> tuple[DataFrame, DataFrame]:
     """Classes of copies ``tbl, key_a, n`` and their other members ``tbl, key_a, key_b``.
 
-    ``records``: ``tbl, rec_key, canon``; repeated deliveries of a key with equal content count once.
+    ``records``: ``tbl, rec_key, canon``; repeated deliveries of a key with equal content count once, with unequal
+    content each belongs to the class of its own.
     """
     digest = F.unhex(F.md5("canon")).alias("digest")
-    known = cut(records.dropDuplicates(["tbl", "rec_key"]).select("tbl", "rec_key", "canon", digest), "canon")
+    known = cut(records.select("tbl", "rec_key", "canon").distinct().select("tbl", "rec_key", "canon", digest), "canon")
     classes = cut(copy_classes(known, capacity, first).select("tbl", digest, F.col("first_key").alias("key_a"), "n"), "classes")
     members = (
         known.select("tbl", "rec_key", "digest")

@@ -166,6 +166,13 @@ def test_copies_match_brute_force(spark):
     assert C.copy_key("Ăsta") != C.copy_key("Asta")
 
 
+def test_unequal_deliveries_and_long_texts_of_copies(spark, monkeypatch):
+    monkeypatch.setattr(C, "FLUSH_BYTES", 50)
+    rows = [("a", "unu doi"), ("a", "trei patru"), ("b", "Unu, doi"), ("c", "TREI patru!"), ("c", "trei-patru"), ("d", "x" * 100_000), ("e", "X" * 100_000)]
+    classes, members = copies(spark, rows)
+    assert members == {("a", "b"), ("a", "c"), ("d", "e")} and classes == {("a", 2), ("d", 2)}
+
+
 def test_copies_empty(spark):
     assert copies(spark, []) == (set(), set())
 
