@@ -20,6 +20,7 @@ several keys goes by the smallest; null ids name no record; empty tables give no
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -32,8 +33,10 @@ from ..runtime import cut
 SEEDS = 4
 #: Edges of a label graph that one task unites.
 SMALL = 100_000
-#: Buckets of the hash order.
-BUCKETS = 1024
+#: Buckets of the hash order at least and at most, and groups of one bucket beyond the least.
+BUCKETS, MOST_BUCKETS, PER_BUCKET = 1 << 10, 1 << 20, 50_000
+#: Tables of labels that are read together before they are written as one.
+TABLES = 6
 
 
 def _unite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -62,22 +65,34 @@ def components(edges: DataFrame, seeds: int = SEEDS, small: int = SMALL, level:
     both = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b")
     adj = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().repartition("a"), "adjacency")
     nodes = cut(adj.select(F.col("a").alias("node")).distinct(), "nodes")
-    labels, part = None, seeds
+    held: list[DataFrame] = []
+
+    def add(new: DataFrame) -> None:
+        """New labels stand in a table of their own; now and then all are written as one."""
+        held.append(new)
+        if len(held) >= TABLES:
+            held[:] = [cut(reduce(DataFrame.unionByName, held), "labels")]
+
+    def unlabelled(some: DataFrame) -> DataFrame:
+        for t in held:
+            some = some.join(t.select("node"), "node", "left_anti")
+        return some
+
+    part = seeds
     while True:
-        left = nodes if labels is None else nodes.join(labels, "node", "left_anti")
-        frontier = cut(left.where(F.pmod(F.xxhash64("node", F.lit(level)), F.lit(part)) == 0).select("node", F.col("node").alias("label")), "frontier")
-        labels = frontier if labels is None else cut(labels.unionByName(frontier), "labels")
+        frontier = cut(unlabelled(nodes).where(F.pmod(F.xxhash64("node", F.lit(level)), F.lit(part)) == 0).select("node", F.col("node").alias("label")), "frontier")
+        add(frontier)
         grew = not frontier.isEmpty()
         while not frontier.isEmpty():
-            met = frontier.join(adj, frontier["node"] == adj["a"]).select(F.col("b").alias("node"), "label")
-            new = met.join(labels.select("node"), "node", "left_anti").groupBy("node").agg(F.min("label").alias("label"))
-            frontier = cut(new, "frontier")
-            labels = cut(labels.unionByName(frontier), "labels")
+            met = frontier.join(adj, frontier["node"] == adj["a"]).select(F.col("b").alias("node"), "label").groupBy("node").agg(F.min("label").alias("label"))
+            frontier = cut(unlabelled(met), "frontier")
+            add(frontier)
         if part == 1:
             break
-        if grew and nodes.join(labels, "node", "left_anti").isEmpty():
+        if grew and unlabelled(nodes).isEmpty():
             break
         part = max(1, part // 2)
+    labels = cut(reduce(DataFrame.unionByName, held), "labels")
     # Seeds that met: edges between nodes of different labels.
     la, lb = labels.select(F.col("node").alias("a"), F.col("label").alias("x")), labels.select(F.col("node").alias("b"), F.col("label").alias("y"))
     met = cut(adj.where("a < b").join(la, "a").join(lb, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "collisions")
@@ -126,13 +141,16 @@ def assign_splits(groups: DataFrame, shares: dict[str, float], seed: int = 5) ->
 
     Groups are laid end to end in the order of a hash; ``shares`` are cumulated in their order.
     """
-    h = F.xxhash64("group_key", F.lit(seed))
-    placed = groups.select("group_key", "n", h.alias("h")).withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 54), F.lit(BUCKETS)).cast("int"))
-    placed = cut(placed, "placed")
+    h = F.shiftrightunsigned(F.xxhash64("group_key", F.lit(seed)), 1)
+    placed = cut(groups.select("group_key", "n", h.alias("h")), "placed")
+    buckets, n = BUCKETS, placed.count()
+    while buckets < MOST_BUCKETS and buckets * PER_BUCKET < n:
+        buckets *= 2
+    placed = placed.withColumn("bucket", F.shiftrightunsigned("h", 64 - buckets.bit_length()).cast("int"))
     totals = placed.groupBy("bucket").agg(F.sum("n").alias("t"))
     before = totals.select("bucket", (F.sum("t").over(Window.orderBy("bucket")) - F.col("t")).alias("before"), F.sum("t").over(Window.partitionBy(F.lit(1))).alias("whole"))
     inside = F.sum("n").over(Window.partitionBy("bucket").orderBy("h", "group_key").rowsBetween(Window.unboundedPreceding, 0))
-    at = placed.withColumn("upto", inside).join(F.broadcast(before), "bucket")  # at most BUCKETS rows
+    at = placed.withColumn("upto", inside).join(F.broadcast(before), "bucket")  # at most MOST_BUCKETS rows
     middle = (F.col("before") + F.col("upto") - F.col("n") / 2) / F.col("whole")
     total, edge, case = sum(shares.values()), 0.0, None
     for name, share in shares.items():

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..runtime import table
 from . import copies, groups, languages, leaks, lookalikes, overlaps, packing, samples, sentences
@@ -146,6 +147,13 @@ def p6_assignment(spark: SparkSession, sf: str) -> DataFrame:
     return groups.assign_records(*_keyed(spark, sf), {"train": 0.8, "dev": 0.1, "test": 0.1})
 
 
+def p6_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Records and groups of each new split, and the share of all records."""
+    per = p6_assignment(spark, sf).groupBy("split").agg(F.count("*").alias("records"), F.count_distinct("group_key").alias("groups"))
+    whole = F.sum("records").over(Window.partitionBy(F.lit(1)))  # a row for each split
+    return per.withColumn("share", F.round(F.col("records") / whole, 4))
+
+
 def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
     """Containers of every capacity, filled with all documents."""
     counts = packing.token_counts(table(spark, sf, "documents"))
@@ -198,7 +206,7 @@ def p9_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 _ALL = (
     p1_found, p1_overlap_report, p1_pairs, p1_members, p2_found, p2_copy_counts, p3_found, p3_consistent, p4_found, p4_sentence_units, p5_found, p5_sample,
-    p5_report, p6_found, p6_assignment, p7_containers, p7_fill, p8_found, p8_item_report, p8_cleaned, p9_found, p9_documents, p9_segments,
+    p5_report, p6_found, p6_assignment, p6_report, p7_containers, p7_fill, p8_found, p8_item_report, p8_cleaned, p9_found, p9_documents, p9_segments,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
