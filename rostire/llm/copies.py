@@ -36,6 +36,8 @@ FIRST_BYTES = 16
 #: Distinct values, and their bytes, that a task counts before it passes its counts on.
 FLUSH, FLUSH_BYTES = 50_000, 1 << 25
 STRIDE = 16
+#: Values with copies that are passed on together.
+ROWS = 10_000
 
 
 def _refuse(x: str) -> float:
@@ -143,23 +145,25 @@ class Trie:
 
 def _count_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Values with at least two copies; rows come sorted by bucket, so one trie is held at a time."""
-    at, trie = None, Trie()
+    at, trie, rows = None, Trie(), []
 
-    def out() -> pd.DataFrame:
-        rows = [(at[0], c, k, n) for c, k, n in trie.terminals() if n > 1]
-        return pd.DataFrame(rows, columns=["tbl", "canon", "first_key", "n"])
+    def frame() -> pd.DataFrame:
+        full = pd.DataFrame(rows, columns=["tbl", "canon", "first_key", "n"])
+        rows.clear()
+        return full
 
     for b in batches:
         for t, p, c, k, n in zip(b["tbl"], b["bucket"], b["canon"], b["first_key"], b["n"]):
             if at != (t, p):
-                if at is not None and trie.root:
-                    found = out()
-                    if len(found):
-                        yield found
+                if at is not None:
+                    rows += [(at[0], *x) for x in trie.terminals() if x[2] > 1]
+                    if len(rows) >= ROWS:
+                        yield frame()
                 at, trie = (t, p), Trie()
             trie.add(c, k, n)
     if at is not None:
-        yield out()
+        rows += [(at[0], *x) for x in trie.terminals() if x[2] > 1]
+    yield frame()
 
 
 def radix_buckets(counted: DataFrame, capacity: int = CAPACITY, first: int = FIRST_BYTES) -> DataFrame:
