@@ -29,12 +29,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) a folder of our own is made and set.
+    Only where the session names none and all runs in one process (local tests) a folder of our own is made and
+    set; on a cluster a machine's own folder would be lost to the other executors, so there it raises.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         own = tempfile.mkdtemp(prefix="rostire-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         named = f"file://{own}"
@@ -52,10 +55,8 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.mode("error").parquet(path)
-    if path.startswith("file:"):
-        atexit.register(shutil.rmtree, path.split(":", 1)[1].replace("///", "/"), ignore_errors=True)
-    elif os.path.isabs(path):
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)  # whatever file system it is
     return spark.read.schema(schema).parquet(path)
 
 
