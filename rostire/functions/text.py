@@ -1,6 +1,7 @@
-"""String primitives, as native columns.
+"""String primitives, as columns.
 
-Every pattern lives here, written for Java with ``(?U)`` so that classes follow Unicode as Python's do.
+Patterns for Java are written with ``(?U)`` so that classes follow Unicode as Python's do. What needs a running
+position (sentences, pauses) is one Arrow call for a batch of rows.
 """
 
 from __future__ import annotations
@@ -10,7 +11,9 @@ import unicodedata
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +25,7 @@ QUOTES = ("“”„«»‘’ʼ", "\"\"\"\"\"'''")
 SPACE = r"(?U)[\s\x1c-\x1f]+"
 # Abbreviations whose period ends no sentence.
 PROTECTED_ABBREVIATIONS = ("dr", "d-na", "d-nul", "prof", "ing", "nr", "art", "pag", "str", "bd", "sec", "min", "max", "etc", "ex", "cf", "vol", "cap", "fig")
+# Spans whose marks end no sentence, and tokens.
 URL = r"\bhttps?://\S+|\bwww\.\S+"
 EMAIL = r"\b[\w.+-]+@[\w-]+\.[\w.-]+\b"
 DATE = r"\b\d{1,2}\.\d{1,2}\.\d{2,4}\b"
@@ -79,35 +83,59 @@ def clean(col: Column) -> Column:
     return F.trim(collapse_space(straight_quotes(legacy_diacritics(nfc(col)))))
 
 
-def hide_protected(col: Column) -> Column:
-    """Terminal marks inside URLs, addresses, dates, decimals and abbreviations replaced by stand-ins.
+def struct_lists(rows: list[list[tuple] | None], kinds: dict[str, pa.DataType]) -> pa.Array:
+    """Arrow lists of structs from lists of tuples; None is a null list."""
+    flat = [x for r in rows if r for x in r]
+    ends = np.cumsum([0] + [len(r or ()) for r in rows])
+    starts = pa.array([None if r is None else int(e) for r, e in zip(rows, ends)] + [int(ends[-1])], pa.int32())
+    columns = list(zip(*flat)) if flat else [[] for _ in kinds]
+    return pa.ListArray.from_arrays(starts, pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values())], list(kinds)))
 
-    A run that follows a span is hidden with it only if the span itself ends in a terminal mark: then
-    the run's first mark lies inside.
-    """
-    abbreviations = "|".join(sorted((re.escape(a).replace("\\-", "-") for a in PROTECTED_ABBREVIATIONS), key=len, reverse=True))
-    out = col
-    for p in (URL, EMAIL, DATE, DECIMAL, rf"\b(?:{abbreviations})\."):
-        flags = "(?U)" if p in (EMAIL, DATE, DECIMAL) else "(?Ui)"
-        out = regex_map(out, rf"{flags}(?:{p})(?:(?<=[.!?…])[.!?…]*)?", lambda m: F.translate(m, _HIDDEN[1], _HIDDEN[0]))
+
+_HIDE, _SHOW = str.maketrans(_HIDDEN[1], _HIDDEN[0]), str.maketrans(*_HIDDEN)
+#: What each pattern needs to be there at all, and the pattern. A run of marks after a span is hidden with it only if
+#: the span itself ends in a terminal mark: then the run's first mark lies inside.
+_PROTECTED = [
+    (need, re.compile(f"(?:{p})(?:(?<=[.!?…])[.!?…]*)?", flags))
+    for need, p, flags in (
+        ("/w", URL, re.I), ("@", EMAIL, 0), (".", DATE, 0), (".,", DECIMAL, 0),
+        (".", rf"\b(?:{'|'.join(sorted(map(re.escape, PROTECTED_ABBREVIATIONS), key=len, reverse=True))})\.", re.I),
+    )
+]
+SEGMENT = re.compile(r"""[^.!?…]*[.!?…]+["')\]]*|[^.!?…]+\Z""")
+
+
+def hidden(text: str) -> str:
+    """The text with terminal marks inside URLs, addresses, dates, decimals and abbreviations as stand-ins."""
+    low = text.lower()
+    for need, pattern in _PROTECTED:
+        if any(c in low for c in need):
+            text = pattern.sub(lambda m: m[0].translate(_HIDE), text)
+    return text
+
+
+def sentence_spans(text: str) -> list[tuple[str, int, int]]:
+    """Sentences of a clean text with their offsets."""
+    out = []
+    for m in SEGMENT.finditer(hidden(text)):
+        one = m[0].strip(" ")
+        if one:
+            start = m.start() + len(m[0]) - len(m[0].lstrip(" "))
+            out.append((one.translate(_SHOW), start, start + len(one)))
     return out
 
 
-SEGMENT = r"""[^.!?…]*[.!?…]+["')\]]*|[^.!?…]+\z"""
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
+def _segment(texts: pa.Array) -> pa.Array:
+    return struct_lists([None if t is None else sentence_spans(t) for t in texts.to_pylist()], {"text": pa.string(), "start": pa.int32(), "end": pa.int32()})
 
 
 def segment(col: Column) -> Column:
-    """Sentences of a clean text as ``array<struct<text,start,end>>``, with code-point offsets."""
-    pieces = F.regexp_extract_all(hide_protected(col), F.lit(SEGMENT), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<text:string,start:int,end:int>>)").alias("out"))
+    """Sentences of a clean text as ``array<struct<text,start,end>>``, with code-point offsets.
 
-    def step(x: Column, p: Column) -> Column:
-        left = x["at"] + F.length(p) - F.length(F.ltrim(p))
-        text = F.translate(F.trim(p), *_HIDDEN)
-        one = F.array(F.struct(text.alias("text"), left.alias("start"), (left + F.length(text)).alias("end")))
-        return F.struct((x["at"] + F.length(p)).alias("at"), F.when(text == "", x["out"]).otherwise(F.concat(x["out"], one)).alias("out"))
-
-    return F.aggregate(pieces, start, step, lambda x: x["out"])
+    One Arrow call for each batch, in time linear in the text; native arrays could only be grown by copying.
+    """
+    return _segment(col)
 
 
 def punctuation_type(col: Column) -> Column:
@@ -119,16 +147,18 @@ def punctuation_type(col: Column) -> Column:
 PAUSE_NAMES = {",": "comma", ";": "semicolon", ":": "colon", ".": "period", "!": "exclamation", "?": "question"}
 
 
+_PAUSE = re.compile(r"\.\.\.|…|[,;:.!?]")
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("offset", T.IntegerType()), T.StructField("category", T.StringType())])))
+def _pauses(texts: pa.Array) -> pa.Array:
+    rows = [None if t is None else [(m.start(), PAUSE_NAMES.get(m[0], "ellipsis")) for m in _PAUSE.finditer(t)] for t in texts.to_pylist()]
+    return struct_lists(rows, {"offset": pa.int32(), "category": pa.string()})
+
+
 def pause_locations(col: Column) -> Column:
     """``array<struct<offset,category>>`` of the pause marks, ellipses first and their dots not again."""
-    marks = F.regexp_extract_all(col, F.lit(r"(?s)\.\.\.|…|."), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<offset:int,category:string>>)").alias("out"))
-    name = lambda m: F.coalesce(F.when(m.isin("...", "…"), "ellipsis"), *[F.when(m == k, v) for k, v in PAUSE_NAMES.items()])
-    step = lambda x, m: F.struct(
-        (x["at"] + F.length(m)).alias("at"),
-        F.when(name(m).isNull(), x["out"]).otherwise(F.concat(x["out"], F.array(F.struct(x["at"].alias("offset"), name(m).alias("category"))))).alias("out"),
-    )
-    return F.aggregate(marks, start, step, lambda x: x["out"])
+    return _pauses(col)
 
 
 def dedup_key(col: Column) -> Column:

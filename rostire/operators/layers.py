@@ -6,11 +6,15 @@ are native expressions over arrays, except spoken forms (with trace) and injecte
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schema as S
 from ..functions import text as X
@@ -29,13 +33,13 @@ def _map(d: dict) -> Column:
     return F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
 
 
-def _words(spec: dict[str, str]) -> Column:
-    """Map from each listed word to the key it stands under; the first key wins."""
+def _by_word(spec: dict[str, str]) -> dict[str, str]:
+    """Each listed word with the key it stands under; the first key wins."""
     out: dict[str, str] = {}
     for k, words in spec.items():
         for w in words.split():
             out.setdefault(w, k)
-    return _map(out)
+    return out
 
 
 def each(df: DataFrame, fn) -> DataFrame:
@@ -47,7 +51,6 @@ def each(df: DataFrame, fn) -> DataFrame:
 
 
 def _clean_edits(s: pd.Series) -> pd.Series:
-    import re
     import unicodedata
 
     passes = [
@@ -107,38 +110,64 @@ def normalized(df: DataFrame, config: dict) -> DataFrame:
 # tokens
 
 
-def rule_tokens(text: Column) -> Column:
-    """Tokens of a sentence by rules: offsets, closed-class tags, negation and person features.
+TOKEN = re.compile(X.TOKEN.removeprefix("(?U)").replace("|[^", r"|\.\.\.|[^"))
+_TAGGED = {"text": pa.string(), "start": pa.int32(), "lemma": pa.string(), "upos": pa.string(), "negative": pa.bool_(), "person": pa.string(), "ordered": pa.bool_()}
+_CLASSES, _PERSONS = _by_word(L.CLOSED_CLASS), _by_word(L.PERSONS)
+_EXCLAIM, _NEGATIVE, _ORDERED = {w for w, _, _ in L.INTERJECTIONS} - {"super"}, set(L.NEGATIONS), set(L.IMPERATIVES)
+
+
+def tagged(text: str) -> list[tuple]:
+    """Tokens of a sentence with offsets, closed-class tags, negation, person and command."""
+    out = []
+    for i, m in enumerate(TOKEN.finditer(text)):
+        word, low = m[0], m[0].lower()
+        command = i == 0 and low in _ORDERED
+        if not (word[0].isalnum() or "_" in word):
+            upos = "PUNCT"
+        elif word[0].isdecimal():
+            upos = "NUM"
+        elif low in _EXCLAIM:
+            upos = "INTJ"
+        else:
+            upos = _CLASSES.get(low) or ("VERB" if command else "PROPN" if i and word[0].isupper() and word[1:2].islower() else "NOUN")
+        out.append((word, m.start(), low, upos, low in _NEGATIVE, _PERSONS.get(low), command))
+    return out
+
+
+_SPARK = {pa.string(): T.StringType(), pa.int32(): T.IntegerType(), pa.bool_(): T.BooleanType()}
+
+
+@F.arrow_udf(T.ArrayType(T.ArrayType(T.StructType([T.StructField(k, _SPARK[v]) for k, v in _TAGGED.items()]))))
+def _tag(texts: pa.Array) -> pa.Array:
+    docs = texts.to_pylist()
+    flat = X.struct_lists([None if t is None else tagged(t) for d in docs if d for t in d], _TAGGED)
+    ends = np.cumsum([0] + [len(d or ()) for d in docs])
+    starts = pa.array([None if d is None else int(e) for d, e in zip(docs, ends)] + [int(ends[-1])], pa.int32())
+    return pa.ListArray.from_arrays(starts, flat)
 
-    A deterministic stand-in for a parser; ``head`` and ``deprel`` stay null.
+
+def rule_tokens_of(texts: Column) -> Column:
+    """Tokens of each sentence of an array by rules: offsets, closed-class tags, negation and person features.
+
+    A deterministic stand-in for a parser; ``head`` and ``deprel`` stay null but for commands.
     """
-    found = F.regexp_extract_all(text, F.lit(X.TOKEN.replace("|[^", r"|\.\.\.|[^")), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<text:string,start:int>>)").alias("out"))
-    placed = F.aggregate(found, start, lambda x, w: _place(x, w, text), lambda x: x["out"])
-    tags, negative, persons, exclaim, ordered = _words(L.CLOSED_CLASS), F.lit(L.NEGATIONS), _words(L.PERSONS), F.lit([w for w, _, _ in L.INTERJECTIONS]), F.lit(L.IMPERATIVES)
+    blank = "cast(map() as map<string,string>)"
 
-    def token(t: Column, i: Column) -> Column:
-        low = F.lower(t["text"])
-        word = t["text"].rlike(r"(?U)\w")
-        upos = (
-            F.when(~word, "PUNCT").when(t["text"].rlike(r"(?U)^\d"), "NUM").when(F.array_contains(exclaim, low) & (low != "super"), "INTJ")
-            .otherwise(F.coalesce(F.try_element_at(tags, low), F.when((i == 0) & F.array_contains(ordered, low), "VERB"), F.when((i > 0) & t["text"].rlike(r"^\p{Lu}\p{Ll}"), "PROPN"), F.lit("NOUN")))
-        )
+    def token(t: Column) -> Column:
         feats = F.map_concat(
-            F.when(F.array_contains(negative, low), _map({"Polarity": "Neg"})).otherwise(F.expr("cast(map() as map<string,string>)")),
-            F.when(F.try_element_at(persons, low).isNotNull(), F.create_map(F.lit("Person"), F.try_element_at(persons, low))).otherwise(F.expr("cast(map() as map<string,string>)")),
-            F.when((i == 0) & F.array_contains(ordered, low), _map({"Mood": "Imp"})).otherwise(F.expr("cast(map() as map<string,string>)")),
-        )
-        root = F.when((i == 0) & F.array_contains(ordered, low), "root")
-        own = {"text": t["text"], "start": t["start"], "end": t["start"] + F.length(t["text"]), "lemma": low, "upos": upos, "feats": feats, "deprel": root, "is_interjection": upos == "INTJ"}
+            F.when(t["negative"], _map({"Polarity": "Neg"})).otherwise(F.expr(blank)), F.when(t["person"].isNotNull(), F.create_map(F.lit("Person"), t["person"])).otherwise(F.expr(blank)),
+            F.when(t["ordered"], _map({"Mood": "Imp"})).otherwise(F.expr(blank)),
+        )
+        plain = ~(t["negative"] | t["person"].isNotNull() | t["ordered"])
+        own = {k: t[k] for k in ("text", "start", "lemma", "upos")} | {"end": t["start"] + F.length(t["text"]), "feats": F.when(plain, F.expr(blank)).otherwise(feats), "deprel": F.when(t["ordered"], "root"), "is_interjection": t["upos"] == "INTJ"}
         return token_struct(own)
 
-    return F.transform(placed, token)
+    return F.transform(_tag(texts), lambda s: F.transform(s, token))
 
 
-def _place(x: Column, w: Column, text: Column) -> Column:
-    at = F.call_function("locate", w, text, x["at"] + 1) - 1
-    return F.struct((at + F.length(w)).alias("at"), F.concat(x["out"], F.array(F.struct(w.alias("text"), at.alias("start")))).alias("out"))
+def rule_tokens(text: Column) -> Column:
+    """Tokens of one sentence by rules."""
+    return F.get(rule_tokens_of(F.array(text)), F.lit(0))
 
 
 def token_struct(own: dict[str, Column]) -> Column:
@@ -160,8 +189,11 @@ def sentence_type(text: Column, tokens: Column) -> Column:
 
 def tokens(df: DataFrame, config: dict) -> DataFrame:
     """Tokens, sentence type and negation (64 to 70). ``config['analyzer']`` maps a text column to tokens."""
-    analyze = config.get("analyzer", rule_tokens)
-    df = each(df, lambda s: s.withField("tokens", analyze(s["normalized"])))
+    if config.get("analyzer"):
+        df = each(df, lambda s: s.withField("tokens", config["analyzer"](s["normalized"])))
+    else:
+        df = df.withColumn("_tokens", rule_tokens_of(F.transform("sentences", lambda s: s["normalized"])))
+        df = df.withColumn("sentences", F.zip_with("sentences", "_tokens", lambda s, t: s.withField("tokens", t))).drop("_tokens")
     return each(
         df,
         lambda s: s.withField("sentence_type", sentence_type(s["normalized"], s["tokens"])).withField(
