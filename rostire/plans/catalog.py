@@ -843,3 +843,6 @@ def _folder(spark: SparkSession, sf: str, name: str) -> str:
     copy = f"{shared_dir(spark).rstrip('/')}/source-{uuid.uuid4().hex}"
     spark.read.parquet(path).write.parquet(copy)
     return copy
+
+
+from . import rules  # noqa: E402, F401  registers more queries and their SQL
