@@ -42,17 +42,33 @@ def biquads(cutoff: float, rate: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def _section(x: np.ndarray, b: np.ndarray, a: np.ndarray, block: int = 256) -> np.ndarray:
+    """One filter section over a signal, block by block.
+
+    Within a block the output is the convolution with the impulse response and the response to the state left by
+    the block before; both are worked out once for a block's length.
+    """
+    step = np.array([[-a[0], 1.0], [-a[1], 0.0]])  # what becomes of the state without input
+    drive = np.array([b[1] - a[0] * b[0], b[2] - a[1] * b[0]])
+    powers = [np.eye(2)]
+    for _ in range(block):
+        powers.append(step @ powers[-1])
+    free = np.array([p[0] for p in powers[:block]])  # output for each part of the state
+    impulse = np.concatenate([[b[0]], free[:-1] @ drive])
+    left = np.array([p @ drive for p in powers[:block]])[::-1]  # state that each input of a block leaves
+    out, state = np.empty_like(x), np.zeros(2)
+    for k in range(0, len(x), block):
+        v = x[k : k + block]
+        out[k : k + block] = np.convolve(v, impulse)[: len(v)] + free[: len(v)] @ state
+        state = powers[len(v)] @ state + v @ left[block - len(v) :]
+    return out
+
+
 def high_pass(x: np.ndarray, rate: int, cutoff: float = 60.0) -> np.ndarray:
     """Signal without what lies below the cutoff (153)."""
     y = x.astype(np.float64)
     for b, a in biquads(cutoff, rate):
-        out = np.empty_like(y)
-        z1 = z2 = 0.0
-        for i, v in enumerate(y):
-            o = b[0] * v + z1
-            z1, z2 = b[1] * v - a[0] * o + z2, b[2] * v - a[1] * o
-            out[i] = o
-        y = out
+        y = _section(y, b, a)
     return y.astype(np.float32)
 
 
@@ -120,3 +136,46 @@ def rms_db(signal: Column) -> Column:
     n = F.size(signal)
     mean = F.aggregate(signal, F.lit(0.0), lambda a, x: a + x.cast("double") * x) / F.when(n > 0, n)
     return F.when(mean > 0, 10 * F.log10(mean))
+
+
+def level_db(value: Column) -> Column:
+    """RMS level in decibels of the rows of a group as a signal, added up before they are shuffled; null for silence."""
+    mean = F.avg(value.cast("double") * value)
+    return F.when(mean > 0, 10 * F.log10(mean))
+
+
+def _over_signals(fn) -> object:  # noqa: ANN001
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def run(s: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else fn(np.asarray(x, dtype=np.float32)) for x in s])
+
+    return run
+
+
+def levelled(signal: Column) -> Column:
+    """A column of signals at the target level."""
+    return _over_signals(loudness)(signal)
+
+
+def limited(signal: Column) -> Column:
+    """A column of signals with limited peaks."""
+    return _over_signals(peak_limit)(signal)
+
+
+def silent_wav(samples: Column, rate: Column) -> Column:
+    """WAV files of silence, mono and of 16 bits."""
+
+    @F.pandas_udf(T.BinaryType())
+    def make(n: pd.Series, r: pd.Series) -> pd.Series:
+        out = []
+        for k, hz in zip(n, r):
+            held = io.BytesIO()
+            with wave.open(held, "wb") as w:
+                w.setnchannels(1)
+                w.setsampwidth(2)
+                w.setframerate(int(hz))
+                w.writeframes(bytes(2 * int(k)))
+            out.append(held.getvalue())
+        return pd.Series(out)
+
+    return make(samples, rate)

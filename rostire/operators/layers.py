@@ -240,8 +240,8 @@ def syllabify(word: Column) -> Column:
 
 def stressed_group(phoneme: Column) -> Column:
     """Which vowel group carries primary stress; null without a mark (77)."""
-    before = F.regexp_extract(phoneme, rf"^(.*)ˈ(?=.*[{IPA_VOWELS}])", 1)
-    return F.when(phoneme.rlike(rf"ˈ.*[{IPA_VOWELS}]"), F.size(F.regexp_extract_all(before, F.lit(rf"[{IPA_VOWELS}]+"), F.lit(0))))
+    before = F.regexp_extract(phoneme, rf"(?s)^(.*)ˈ(?=.*[{IPA_VOWELS}])", 1)
+    return F.when(phoneme.rlike(rf"(?s)ˈ.*[{IPA_VOWELS}]"), F.size(F.regexp_extract_all(before, F.lit(rf"[{IPA_VOWELS}]+"), F.lit(0))))
 
 
 def fallback_stress(syllables: Column, word: Column) -> Column:

@@ -277,11 +277,11 @@ def normalization_accuracy(spark: SparkSession, sf: str) -> DataFrame:
 # Tokens, pronunciation
 
 
-@query("SELECT DISTINCT phonemes, map_from_entries([(string_split(p, '=')[1], string_split(p, '=')[2]) for p in string_split(f, '|')])['Number'] AS number FROM (SELECT phonemes, CASE WHEN length(phonemes) % 2 = 0 THEN 'Case=Nom|Number=Sing' ELSE 'Case=Acc|Number=Plur' END AS f FROM manifest_row)")
+@query("""SELECT id, feature, CAST(m[feature] AS VARCHAR) AS value FROM (SELECT id, m, unnest(map_keys(m)) AS feature FROM (SELECT id, map_from_entries([(p, CAST(length(p) AS VARCHAR)) for p in list_distinct(phenomena)]) AS m FROM (SELECT DISTINCT id, phenomena FROM evaluation_example WHERE len(phenomena) > 0)))""")
 def feature_maps(spark: SparkSession, sf: str) -> DataFrame:
-    """Feature strings as maps (67)."""
-    f = F.when(F.length("phonemes") % 2 == 0, "Case=Nom|Number=Sing").otherwise("Case=Acc|Number=Plur")
-    return table(spark, sf, "manifest_row").select("phonemes", F.try_element_at(X.parse_feats(f), F.lit("Number")).alias("number")).distinct()
+    """Feature strings, made of the phenomena of the rows, as maps (67)."""
+    rows = _ev(spark, sf, "phenomena").select("id", F.array_join(F.transform(F.array_distinct("phenomena"), lambda p: F.concat(p, F.lit("="), F.length(p).cast("string"))), "|").alias("feats"))
+    return rows.select("id", F.explode(X.parse_feats(F.col("feats"))).alias("feature", "value"))
 
 
 @query()
@@ -319,11 +319,12 @@ def word_syllables(spark: SparkSession, sf: str) -> DataFrame:
     return parts.select("word", F.array_join("syllables", "-").alias("syllables"), layers.fallback_stress(F.col("syllables"), F.col("word")).alias("stress"))
 
 
-@query("""WITH w AS (SELECT DISTINCT 'ˈ' || phonemes AS p FROM manifest_row WHERE phonemes IS NOT NULL)
-    SELECT p, CASE WHEN regexp_matches(p, '[aeiouəɨɔɪʊy]') THEN 0 END AS stressed FROM w""")
+@query("""WITH w AS (SELECT DISTINCT left(phonemes, length(phonemes) // 2) AS a, substr(phonemes, length(phonemes) // 2 + 1) AS b FROM (SELECT replace(phonemes, 'ˈ', '') AS phonemes FROM manifest_row WHERE phonemes IS NOT NULL))
+    SELECT a || 'ˈ' || b AS p, CASE WHEN regexp_matches(b, '[aeiouəɨɔɪʊy]') THEN CAST(len(regexp_extract_all(a, '[aeiouəɨɔɪʊy]+')) AS INT) END AS stressed FROM w""")
 def stressed_groups(spark: SparkSession, sf: str) -> DataFrame:
-    """Which vowel group carries stress (77)."""
-    rows = table(spark, sf, "manifest_row").where("phonemes IS NOT NULL").select(F.concat(F.lit("ˈ"), "phonemes").alias("p")).distinct()
+    """Which vowel group carries stress where the mark is moved into the middle of a pronunciation (77)."""
+    plain = table(spark, sf, "manifest_row").where("phonemes IS NOT NULL").select(F.replace("phonemes", F.lit("ˈ"), F.lit("")).alias("x"))
+    rows = plain.select(F.expr("concat(left(x, length(x) div 2), 'ˈ', substring(x, length(x) div 2 + 1))").alias("p")).distinct()
     return rows.select("p", layers.stressed_group(F.col("p")).alias("stressed"))
 
 
@@ -506,11 +507,11 @@ def lexicon_vad(spark: SparkSession, sf: str) -> DataFrame:
     return readers.lexicon_vad(rows, ("word", "valence", "arousal")).select("word", F.round("valence", 6).alias("valence"), F.round("arousal", 6).alias("arousal"))
 
 
-@query("""SELECT DISTINCT utt_id, text FROM (SELECT utt_id, trim(regexp_replace(text, ' +', ' ', 'g'), ' ') AS text FROM utterance) WHERE length(text) BETWEEN 20 AND 220""")
+@query("""SELECT DISTINCT utt_id, text FROM (SELECT utt_id, trim(array_to_string([t || CASE WHEN length(t) % 5 = 0 THEN '' ELSE ' ' END for t in string_split(text, ' ') if t <> ''], ''), ' ') AS text FROM utterance) WHERE length(text) BETWEEN 20 AND 220""")
 def detokenized(spark: SparkSession, sf: str) -> DataFrame:
     """Texts put together from tokens and space flags (24, 25)."""
     toks = F.filter(F.split("text", " "), lambda t: t != "")
-    rows = table(spark, sf, "utterance").select("utt_id", toks.alias("tokens"), F.transform(toks, lambda t: F.lit(True)).alias("space_after"))
+    rows = table(spark, sf, "utterance").select("utt_id", toks.alias("tokens"), F.transform(toks, lambda t: F.length(t) % 5 != 0).alias("space_after"))
     return readers.ronec_rows(rows).select("utt_id", "text").distinct()
 
 
@@ -537,10 +538,10 @@ def slugs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "utterance").select(F.lower(F.trim("corpus")).alias("corpus"), X.slug(F.col("rel_wav")).alias("slug")).distinct()
 
 
-@query("SELECT DISTINCT rel_wav, greatest(1, (length(text) * 100 - 44) // 2) AS samples FROM utterance WHERE length(text) * 100 >= 46")
+@query("SELECT DISTINCT rel_wav, greatest(1, CAST(floor((length(text) - 44) / 2) AS BIGINT)) AS samples FROM utterance")
 def sample_estimates(spark: SparkSession, sf: str) -> DataFrame:
     """Samples of clips by their size (30)."""
-    return table(spark, sf, "utterance").where("length(text) * 100 >= 46").select("rel_wav", readers.sample_estimate(F.length("text") * 100).alias("samples")).distinct()
+    return table(spark, sf, "utterance").select("rel_wav", readers.sample_estimate(F.length("text")).alias("samples")).distinct()
 
 
 # Corpus
@@ -785,7 +786,8 @@ def boundary_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Rule boundaries against the given ones, as sets of ends."""
     rows = _ev(spark, sf, "text", "sentence_boundaries").where("sentence_boundaries IS NOT NULL AND text IS NOT NULL")
     ends = F.transform(X.segment(F.col("text")), lambda s: s["end"])
-    return metrics.boundary_scores(rows.select(F.transform("sentence_boundaries", lambda b: b["end"]).alias("g"), ends.alias("p")), "g", "p")
+    scores = metrics.boundary_scores(rows.select(F.transform("sentence_boundaries", lambda b: b["end"]).alias("g"), ends.alias("p")), "g", "p")
+    return scores.select(*[F.col(c).cast("long").alias(c) for c in ("tp", "fp", "fn")], *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
 
 
 @query()
@@ -811,8 +813,8 @@ def enriched_examples(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT user_id, round(10 * log10(sum(value * value) / count(*)), 6) AS rms_db FROM events WHERE value IS NOT NULL GROUP BY user_id HAVING sum(value * value) > 0")
 def signal_levels(spark: SparkSession, sf: str) -> DataFrame:
     """RMS level of each user's values taken as a signal (156)."""
-    rows = table(spark, sf, "events").where("value IS NOT NULL").groupBy("user_id").agg(F.collect_list("value").alias("x"))
-    return rows.select("user_id", F.round(audio.rms_db(F.col("x")), 6).alias("rms_db")).where("rms_db IS NOT NULL")
+    rows = table(spark, sf, "events").where("value IS NOT NULL").groupBy("user_id").agg(audio.level_db(F.col("value")).alias("rms_db"))
+    return rows.select("user_id", F.round("rms_db", 6).alias("rms_db")).where("rms_db IS NOT NULL")
 
 
 @query()
@@ -845,4 +847,4 @@ def _folder(spark: SparkSession, sf: str, name: str) -> str:
     return copy
 
 
-from . import rules  # noqa: E402, F401  registers more queries and their SQL
+from . import cases, rules  # noqa: E402, F401  register more queries and their SQL

