@@ -332,9 +332,11 @@ def intensity(label: Column, arousal: Column, bangs: Column, questions: Column,
 
 
 def emotion(df: DataFrame, config: dict) -> DataFrame:
-    """Emotion of each sentence (81 to 87). ``config['predictor']`` maps a text column to a distribution."""
+    """Emotion of each sentence (81 to 87). ``config['predictor']`` maps a text column to a distribution, over raw labels with ``raw_labels``."""
     predict = config.get("predictor", cue_predictor)
     df = df.withColumn("_dist", F.transform("sentences", lambda s: predict(s["normalized"]))) if config.get("row_predictor") is None else df.withColumn("_dist", config["row_predictor"](F.transform("sentences", lambda s: s["normalized"])))
+    if config.get("raw_labels"):  # the predictor has a classifier's own labels
+        df = df.withColumn("_dist", F.transform("_dist", aggregate_labels))
     df = df.withColumn("_emo", F.transform("_dist", lambda d: F.struct(decide_label(d).alias("d"), weighted(d, 0).alias("v"), weighted(d, 1).alias("a"), d.alias("m"))))
 
     def one(s: Column, e: Column) -> Column:

@@ -828,13 +828,14 @@ def finished_signals(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL")
 def streamed_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Events by day and type, counted as a stream until all of the table is done."""
-    name = f"rostire_{uuid.uuid4().hex}"
+    done = f"{shared_dir(spark).rstrip('/')}/counts-{uuid.uuid4().hex}"
     source = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "*.parquet").parquet(_folder(spark, sf, "events"))
     source = source.select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    counts = streams.counts_by_window(source, "ts", "event_type", "1 day", late="100000 days")
-    q = counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{shared_dir(spark).rstrip('/')}/{name}").trigger(availableNow=True).start()
+    counts = streams.counts_by_window(source, "ts", "event_type", "1 day", late="1 day")
+    # All counts come out with every batch, so no state may expire; they go to a table, not to the driver.
+    q = counts.writeStream.outputMode("complete").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(done)).option("checkpointLocation", f"{done}-state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name).select("event_type", F.to_date("w.start").alias("day"), "n")
+    return spark.read.parquet(done).select("event_type", F.to_date("w.start").alias("day"), "n")
 
 
 def _folder(spark: SparkSession, sf: str, name: str) -> str:

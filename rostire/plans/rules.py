@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import sql
 from ..functions import text as X
-from ..operators import layers, lexicon, models
+from ..operators import corpus, layers, lexicon, models
 from ..runtime import table
+from ..sources import readers
+from . import sqlwords as W
 from .catalog import _CLEAN, _SPACES, _SQL, _list, _once, query
 
 _WORD = r"\pL\pN_"
@@ -157,3 +160,29 @@ def analyzed_texts(spark: SparkSession, sf: str) -> DataFrame:
     rows = _once(table(spark, sf, "utterance").select("utt_id", "text"), "utt_id")
     out = models.over_distinct(rows, "text", "tokens", "rule_tagger", _tagger, "array<struct<text:string,upos:string>>")
     return out.where("size(tokens) > 0").select("utt_id", F.size("tokens").cast("long").alias("tokens"), F.size(F.filter("tokens", lambda t: t["upos"] == "PROPN")).cast("long").alias("names"))
+
+
+@query(f"SELECT n, {W.cardinal('n', True)} AS cardinal, 'Are ' || {W.cardinal('n')} || ' la sută.' AS spoken FROM (SELECT DISTINCT CAST(l_quantity AS BIGINT) AS n FROM lineitem)")
+def functions_in_sql(spark: SparkSession, sf: str) -> DataFrame:
+    """Number words and spoken forms called from SQL (54, 57, 59)."""
+    sql.register(spark)
+    rows = table(spark, sf, "lineitem").select(F.col("l_quantity").cast("long").alias("n")).distinct()
+    return rows.selectExpr("n", "ro_cardinal(n, 'feminine') AS cardinal", "ro_spoken(concat('Are ', n, '%.')) AS spoken")
+
+
+@query("""SELECT id, 'bulk_added' AS phenomenon, 'unspecified' AS intensity, 'predicted' AS provenance, lower(trim(text_register)) AS label, CAST(0.0 AS DOUBLE) AS draft_confidence FROM (SELECT DISTINCT id, text_register FROM evaluation_example WHERE text IS NOT NULL)""")
+def bulk_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Evaluation rows as bulk items, which enrichment gives no confidence (159a, 159c)."""
+    rows = table(spark, sf, "evaluation_example").where("text IS NOT NULL").select("id", F.lit("t").alias("text"), F.lower(F.trim("text_register")).alias("label")).distinct()
+    items = corpus.bulk_item(rows, "text", "label")
+    notes = items.select(F.col("id"), F.lit("t").alias("normalized_text"), F.lit(None).cast("array<struct<start:int,end:int>>").alias("sentences"))
+    out = corpus.enriched(items, notes.dropDuplicates(["id"]), "id")
+    return out.select("id", F.get("phenomena", F.lit(0)).alias("phenomenon"), "intensity.value", "intensity.provenance", "label", "draft_confidence").withColumnRenamed("value", "intensity").distinct()
+
+
+@query("""SELECT word, array_to_string(list_sort(list_distinct(list(tag))), ' ') AS tags FROM (SELECT lower(trim(source)) AS word, unnest([CASE WHEN list_contains(phenomena, 'numbers') THEN 'joy' END, CASE WHEN length(text) % 2 = 0 THEN 'fear' END]) AS tag FROM evaluation_example WHERE source IS NOT NULL AND upper(source) <> 'NO TRANSLATION')
+    WHERE tag IS NOT NULL GROUP BY word""")
+def wide_lexicon(spark: SparkSession, sf: str) -> DataFrame:
+    """A word-emotion table with a column of flags for each emotion, its tags united by word (26)."""
+    rows = table(spark, sf, "evaluation_example").select("source", F.coalesce(F.array_contains("phenomena", "numbers"), F.lit(False)).alias("Joy"), F.coalesce(F.length("text") % 2 == 0, F.lit(False)).alias("Fear"))
+    return readers.lexicon_wide(rows, "source", ["Joy", "Fear"]).select("word", F.array_join("tags", " ").alias("tags"))

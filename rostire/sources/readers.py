@@ -8,7 +8,6 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 UTTERANCE = "rel_wav string, text string, speaker string"
 ANNOTATION = "struct<value:{},provenance:string,confidence:double,note:string>"
@@ -97,8 +96,7 @@ def central_transcripts(lines: DataFrame) -> DataFrame:
     sep = F.when(F.contains("value", F.lit("|")), "|").when(F.contains("value", F.lit("\t")), "\t").otherwise(" ")
     at = F.call_function("locate", sep, F.col("value"))
     rows = lines.where((F.trim("value") != "") & (at > 0)).select(F.trim(F.substring("value", F.lit(1), at - 1)).alias("id"), F.trim(F.substring("value", at + 1, F.length("value"))).alias("text"), "file", "line_no")
-    first = F.row_number().over(Window.partitionBy("id").orderBy("file", "line_no"))
-    return rows.withColumn("_n", first).where("_n = 1 AND id <> ''").select("id", "text")
+    return rows.where("id <> ''").groupBy("id").agg(F.min_by("text", F.struct("file", "line_no")).alias("text"))
 
 
 def swara(spark: SparkSession, root: str) -> DataFrame:
@@ -209,6 +207,12 @@ def lexicon_tags(rows: DataFrame) -> DataFrame:
     return ok.groupBy(F.lower(F.trim("word")).alias("word")).agg(F.array_sort(F.collect_set("emotion")).alias("tags"))
 
 
+def lexicon_wide(rows: DataFrame, word: str, flags: list[str]) -> DataFrame:
+    """``word, tags`` of a word-emotion table with a word column and one column of flags for each emotion (26)."""
+    each = F.explode(F.array(*[F.struct(F.lit(c.lower()).alias("emotion"), F.col(c).cast("int").alias("flag")) for c in flags])).alias("x")
+    return lexicon_tags(rows.select(F.col(word).alias("word"), each).select("word", "x.emotion", "x.flag"))
+
+
 def lexicon_vad(rows: DataFrame, names: tuple[str, str, str, str] = ("word", "valence", "arousal", "dominance")) -> DataFrame:
     """Mean values of each lower-case word (27); other columns than expected are an error."""
     missing = [n for n in names if n not in rows.columns]

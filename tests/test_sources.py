@@ -104,6 +104,15 @@ def test_audio(spark):
     t = np.arange(rate) / rate
     x = np.concatenate([np.zeros(2000), 0.3 * np.sin(2 * np.pi * 440 * t) + 0.2, np.zeros(2000)]).astype(np.float32)
     y = audio.high_pass(x, rate)
+    plain = x.astype(np.float64)
+    for b, a in audio.biquads(60.0, rate):  # the sections, sample by sample
+        out, z1, z2 = [], 0.0, 0.0
+        for v in plain:
+            o = b[0] * v + z1
+            z1, z2 = b[1] * v - a[0] * o + z2, b[2] * v - a[1] * o
+            out.append(o)
+        plain = np.array(out)
+    assert np.allclose(y, plain, atol=1e-6)
     assert abs(float(y[4000:8000].mean())) < 0.02
     assert len(audio.trim_silence(x, rate)) < len(x)
     assert abs(20 * np.log10(np.sqrt(np.mean(audio.loudness(x).astype(float) ** 2))) + 23) < 0.1
@@ -121,3 +130,63 @@ def test_stream(spark, tmp_path):
     out = annotate_stream(spark.readStream.schema("id string, text string").parquet(str(tmp_path / "in")), "normalize_only", "text", "id").select("id", "normalized_text")
     write_parquet_stream(out, str(tmp_path / "out"), uuid.uuid4().hex).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).first()["normalized_text"] == "Ora nouă fix."
+
+
+def test_models_see_each_distinct_value_once(spark, tmp_path):
+    from rostire.operators import models
+
+    seen = spark.sparkContext.accumulator(0)
+    loads = spark.sparkContext.accumulator(0)
+
+    def load():
+        loads.add(1)
+
+        def model(values):
+            seen.add(len(values))
+            return [v.upper() for v in values]
+
+        return model
+
+    rows = [(k, ["unu", "doi", "trei"][k % 3]) for k in range(300)] + [(300, None), (301, " ")]
+    df = spark.createDataFrame(rows, "k int, t string")
+    cache = str(tmp_path / "cache")
+    got = {r["k"]: r["u"] for r in models.over_distinct(df, "t", "u", "upper", load, "string", cache).collect()}
+    assert got == {k: t.upper() if t and t.strip() else None for k, t in rows} and seen.value == 3 and loads.value <= 3
+    more = df.union(spark.createDataFrame([(400, "patru")], "k int, t string"))
+    assert models.over_distinct(more, "t", "u", "upper", load, "string", cache).where("u = 'PATRU'").count() == 1
+    assert seen.value == 4
+    assert models.over_distinct(df.limit(0), "t", "u", "upper", load, "string").count() == 0
+
+
+def test_phonetics_and_members(spark):
+    from rostire.operators import models
+
+    df = spark.createDataFrame([("Plata TVA, azi!",), (None,), ("",)], "t string")
+    say = lambda **kw: [r["p"] for r in df.select(models.phonetics_only(F.col("t"), **kw).alias("p")).collect()]
+    assert say() == ["plata tˈe vˈe ˈa , azi !", None, ""]
+    assert say(load=lambda: lambda ws: ["" if w == "azi" else f"/{w}/" for w in ws], overrides={"plata": "x"}, name="n1") == ["x /TVA/ , azi !", None, ""]
+
+
+def test_shared_folder_is_never_local_on_a_cluster(monkeypatch):
+    from rostire import runtime
+
+    class Far:
+        class conf:
+            get = staticmethod(lambda k, d=None: None)
+
+        class sparkContext:
+            master = "spark://far:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError):
+        runtime.shared_dir(Far)
+
+
+def test_long_documents_are_cut_in_linear_time(spark):
+    from rostire.functions import text as X
+    from rostire.operators import layers
+
+    big = "Ana are mere și pere azi. " * 40_000  # a megabyte
+    df = spark.createDataFrame([(big,), ("a" * 1_000_000,), (None,), ("",)], "t string")
+    got = df.select(F.size(X.segment(F.col("t"))).alias("s"), F.size(layers.rule_tokens(F.col("t"))).alias("k"), F.size(X.pause_locations(F.col("t"))).alias("p")).collect()
+    assert [tuple(r) for r in got[:2]] == [(40_000, 280_000, 40_000), (1, 1, 0)]
