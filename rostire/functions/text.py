@@ -194,3 +194,31 @@ def parse_feats(col: Column) -> Column:
     """``A=B|C=D`` as a map; null, empty and ``_`` give an empty map."""
     ok = col.isNotNull() & (col != "") & (col != "_")
     return F.when(ok, F.str_to_map(col, F.lit(r"\|"), F.lit("="))).otherwise(F.expr("cast(map() as map<string,string>)"))
+
+
+# How the signs of addresses are read.
+SIGNS = {"@": "arond", ".": "punct", "/": "slash", "-": "liniuță", "_": "liniuță jos", ":": "două puncte", "?": "semnul întrebării", "=": "egal", "&": "și", "+": "plus"}
+_ADDRESS = re.compile(rf"{EMAIL}|{URL}", re.I)
+_ACRONYM = re.compile(r"\b[A-ZĂÂÎȘȚ]{2,6}\b")
+
+
+def read_out(text: str, acronyms: dict[str, str] | None = None) -> str:
+    """Addresses with their signs in words, and listed acronyms in full; a mark that ends an address stays."""
+
+    def address(m: re.Match) -> str:
+        body = m[0].rstrip(".!?…,;:")
+        words = re.sub(r"[@./\-_:?=&+]+", lambda s: "".join(f" {SIGNS[c]} " for c in s[0]), re.sub(r"(?i)^https?://", "", body))
+        return " ".join(words.split()) + m[0][len(body) :]
+
+    text = _ADDRESS.sub(address, text)
+    return _ACRONYM.sub(lambda m: (acronyms or {}).get(m[0], m[0]), text)
+
+
+def expand_addresses(col: Column, acronyms: dict[str, str] | None = None) -> Column:
+    """``read_out`` for a column; only texts that hold an address or capitals leave the JVM."""
+
+    @F.pandas_udf(T.StringType())
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: read_out(t, acronyms), na_action="ignore")
+
+    return F.coalesce(run(F.when(col.rlike(r"@|://|(?i)www\.|\p{Lu}{2}"), col)), col)

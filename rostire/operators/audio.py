@@ -98,6 +98,28 @@ def reverb(x: np.ndarray, rate: int, mix: float = 0.05, seconds: float = 0.12, s
     return ((1 - mix) * x + mix * wet).astype(np.float32)
 
 
+def joined(parts: list[np.ndarray], rate: int, pauses_ms: list[int] | None = None, fade_ms: int = 0) -> np.ndarray:
+    """Signals one after another, with the pause after each; where there is none, a short linear crossfade."""
+    out = np.zeros(0, dtype=np.float32)
+    for k, x in enumerate(parts):
+        pause = rate * (pauses_ms[k - 1] if k and pauses_ms else 0) // 1000
+        n = 0 if pause or not k else min(rate * fade_ms // 1000, len(out), len(x))
+        if n:
+            up = np.arange(1, n + 1, dtype=np.float32) / (n + 1)
+            out[-n:] = out[-n:] * (1 - up) + x[:n] * up
+        out = np.concatenate([out, np.zeros(pause, dtype=np.float32), x[n:].astype(np.float32)])
+    return out
+
+
+def resampled(x: np.ndarray, rate: int, new_rate: int) -> np.ndarray:
+    """Signal at another rate: its spectrum cut off or continued with zeros."""
+    n = max(1, round(len(x) * new_rate / rate)) if len(x) else 0
+    if not n or rate == new_rate:
+        return x
+    spectrum = np.fft.rfft(x.astype(np.float64))[: n // 2 + 1]
+    return (np.fft.irfft(spectrum, n) * (n / len(x))).astype(np.float32)
+
+
 def room_tone(x: np.ndarray, level_db: float = -70.0, seed: int = 7) -> np.ndarray:
     """Faint seeded noise under the signal (155)."""
     return (x + np.random.default_rng(seed).standard_normal(len(x)) * 10 ** (level_db / 20)).astype(np.float32)
@@ -179,3 +201,19 @@ def silent_wav(samples: Column, rate: Column) -> Column:
         return pd.Series(out)
 
     return make(samples, rate)
+
+
+def joined_signals(signals: Column, rate: int, pauses_ms: Column | None = None, fade_ms: int = 0) -> Column:
+    """A column of arrays of signals, each joined to one."""
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def run(s: pd.Series, p: pd.Series) -> pd.Series:
+        one = lambda x, ms: joined([np.asarray(y, dtype=np.float32) for y in x], rate, None if ms is None else list(ms), fade_ms)
+        return pd.Series([None if x is None else one(x, ms) for x, ms in zip(s, p)])
+
+    return run(signals, F.lit(None).cast("array<int>") if pauses_ms is None else pauses_ms)
+
+
+def resampled_signals(signal: Column, rate: int, new_rate: int) -> Column:
+    """A column of signals at another rate."""
+    return _over_signals(lambda x: resampled(x, rate, new_rate))(signal)

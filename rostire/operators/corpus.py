@@ -194,3 +194,15 @@ def enriched(df: DataFrame, annotated: DataFrame, key: str) -> DataFrame:
     own = annotated.select(F.col("id").alias(key), F.col("normalized_text").alias("expected_normalized_text"), F.transform("sentences", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("sentence_boundaries"))
     bulk = F.coalesce(F.array_contains("phenomena", "bulk_added"), F.lit(False))
     return df.drop("expected_normalized_text", "sentence_boundaries").join(own, key, "left").withColumn("draft_confidence", F.when(bulk, 0.0).otherwise(0.5))
+
+
+def sampling_weights(df: DataFrame, label: str) -> DataFrame:
+    """``label, n, weight``: the weight under which every label is drawn equally often, one on average."""
+    counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"))
+    whole = counts.agg(F.sum("n").alias("_all"), F.count("*").alias("_labels"))  # one row
+    return counts.join(F.broadcast(whole), F.lit(True)).select(label, "n", (F.col("_all") / (F.col("_labels") * F.col("n"))).alias("weight"))
+
+
+def id_map(df: DataFrame, col: str) -> DataFrame:
+    """``col, idx``: the distinct values, numbered from 0 in their order."""
+    return numbered(df.where(F.col(col).isNotNull()).select(col).distinct(), [col]).select(col, (F.col("rn") - 1).alias("idx"))

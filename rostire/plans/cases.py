@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import audio, layers, metrics, serializers
+from ..operators import audio, corpus, layers, metrics, serializers
 from ..operators.pipeline import load_config, process, requested
 from ..runtime import cut, shared_dir, table
 from ..sources import readers, sinks
@@ -213,6 +213,15 @@ golden(
     lambda df: df.sparkSession.createDataFrame([(r["n"], str(metrics.adopt(*map(float, r["given"].split()))[0]).lower()) for r in df.collect()], "n int, got string"),  # the cases above
 )
 
+golden(
+    "addresses_read_out", "Addresses and listed acronyms in words.",
+    [
+        ("Scrie la ion.pop@x-y.ro.", "Scrie la ion punct pop arond x liniuță y punct ro."), ("Vezi https://a.ro/b?c=1!", "Vezi a punct ro slash b semnul întrebării c egal 1!"), ("La www.exemplu.ro, acum.", "La www punct exemplu punct ro, acum."),
+        ("ONU și NATO", "Organizația Națiunilor Unite și NATO"), ("Fără nimic.", "Fără nimic."),
+    ],
+    lambda df: _each(df, lambda g: X.expand_addresses(g, {"ONU": "Organizația Națiunilor Unite"})),
+)
+
 
 # Whole tables through formats and back
 
@@ -309,3 +318,26 @@ def corpus_report(spark: SparkSession, sf: str) -> DataFrame:
     """A small aggregate as a Markdown report (36)."""
     counts = table(spark, sf, "utterance").groupBy("corpus").agg(F.count("*").alias("n")).orderBy("corpus", "n")
     return spark.createDataFrame([(sinks.markdown_table(counts, "Corpora"),)], "report string")  # a row for each corpus
+
+
+@query("SELECT vec_id, CAST(len(embedding) + 20 AS BIGINT) AS samples, CAST(2 * len(embedding) AS BIGINT) AS twice, round(list_sum([CAST(CAST(x AS FLOAT) AS DOUBLE) for x in embedding]), 3) AS total FROM embeddings")
+def joined_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    """Each embedding as two signals joined with a pause of 20 samples, and at twice the rate."""
+    x = F.transform("embedding", lambda v: v.cast("float"))
+    half = (F.size("embedding") / 2).cast("int")
+    halves = F.array(F.slice(x, F.lit(1), half), F.slice(x, half + 1, F.size("embedding")))
+    rows = table(spark, sf, "embeddings").select("vec_id", audio.joined_signals(halves, 1000, F.array(F.lit(20))).alias("y"), audio.resampled_signals(x, 8000, 16000).alias("z"))
+    return rows.select("vec_id", F.size("y").cast("long").alias("samples"), F.size("z").cast("long").alias("twice"), F.round(F.aggregate("y", F.lit(0.0), lambda a, v: a + v), 3).alias("total"))
+
+
+@query("SELECT label, n, round(sum(n) OVER () / (count(*) OVER () * n), 9) AS weight FROM (SELECT lower(trim(text_register)) AS label, count(*) AS n FROM (SELECT DISTINCT id, text_register FROM evaluation_example WHERE text_register IS NOT NULL) GROUP BY 1)")
+def register_weights(spark: SparkSession, sf: str) -> DataFrame:
+    """Weights under which all registers are drawn equally often."""
+    rows = _ev(spark, sf, "text_register").where("text_register IS NOT NULL").select(F.lower(F.trim("text_register")).alias("label"))
+    return corpus.sampling_weights(rows, "label").select("label", "n", F.round("weight", 9).alias("weight"))
+
+
+@query("SELECT speaker, row_number() OVER (ORDER BY encode(speaker)) - 1 AS idx FROM (SELECT DISTINCT lower(trim(speaker)) AS speaker FROM utterance WHERE speaker IS NOT NULL)")
+def speaker_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """A number for each speaker, in their order."""
+    return corpus.id_map(table(spark, sf, "utterance").select(F.lower(F.trim("speaker")).alias("speaker")), "speaker")

@@ -190,3 +190,16 @@ def test_long_documents_are_cut_in_linear_time(spark):
     df = spark.createDataFrame([(big,), ("a" * 1_000_000,), (None,), ("",)], "t string")
     got = df.select(F.size(X.segment(F.col("t"))).alias("s"), F.size(layers.rule_tokens(F.col("t"))).alias("k"), F.size(X.pause_locations(F.col("t"))).alias("p")).collect()
     assert [tuple(r) for r in got[:2]] == [(40_000, 280_000, 40_000), (1, 1, 0)]
+
+
+def test_joined_and_resampled():
+    import numpy as np
+
+    a, b = np.ones(10, dtype=np.float32), np.full(6, 3, dtype=np.float32)
+    assert audio.joined([a, b], 1000, [5]).tolist() == [1.0] * 10 + [0.0] * 5 + [3.0] * 6
+    faded = audio.joined([a, b], 1000, None, 4)
+    assert len(faded) == 12 and np.all(np.diff(faded[5:]) >= 0) and audio.joined([], 1000).size == 0
+    t = np.arange(800) / 8000
+    x = np.sin(2 * np.pi * 100 * t).astype(np.float32)
+    y = audio.resampled(x, 8000, 16000)
+    assert len(y) == 1600 and np.abs(y[::2] - x).max() < 1e-3 and len(audio.resampled(x, 8000, 4000)) == 400
