@@ -320,14 +320,14 @@ def corpus_report(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(sinks.markdown_table(counts, "Corpora"),)], "report string")  # a row for each corpus
 
 
-@query("SELECT vec_id, CAST(len(embedding) + 20 AS BIGINT) AS samples, CAST(2 * len(embedding) AS BIGINT) AS twice, round(list_sum([CAST(CAST(x AS FLOAT) AS DOUBLE) for x in embedding]), 3) AS total FROM embeddings")
+@query("SELECT vec_id, CAST(len(embedding) + 20 AS BIGINT) AS samples, CAST(2 * len(embedding) AS BIGINT) AS twice, round(list_sum([CAST(CAST(x AS FLOAT) AS DOUBLE) for x in embedding]), 2) + CAST(0 AS DOUBLE) AS total FROM embeddings")
 def joined_embeddings(spark: SparkSession, sf: str) -> DataFrame:
     """Each embedding as two signals joined with a pause of 20 samples, and at twice the rate."""
     x = F.transform("embedding", lambda v: v.cast("float"))
     half = (F.size("embedding") / 2).cast("int")
     halves = F.array(F.slice(x, F.lit(1), half), F.slice(x, half + 1, F.size("embedding")))
     rows = table(spark, sf, "embeddings").select("vec_id", audio.joined_signals(halves, 1000, F.array(F.lit(20))).alias("y"), audio.resampled_signals(x, 8000, 16000).alias("z"))
-    return rows.select("vec_id", F.size("y").cast("long").alias("samples"), F.size("z").cast("long").alias("twice"), F.round(F.aggregate("y", F.lit(0.0), lambda a, v: a + v), 3).alias("total"))
+    return rows.select("vec_id", F.size("y").cast("long").alias("samples"), F.size("z").cast("long").alias("twice"), (F.round(F.aggregate("y", F.lit(0.0), lambda a, v: a + v), 2) + F.lit(0.0)).alias("total"))
 
 
 @query("SELECT label, n, round(sum(n) OVER () / (count(*) OVER () * n), 9) AS weight FROM (SELECT lower(trim(text_register)) AS label, count(*) AS n FROM (SELECT DISTINCT id, text_register FROM evaluation_example WHERE text_register IS NOT NULL) GROUP BY 1)")
