@@ -1,9 +1,10 @@
 """Problem 7: filling fixed-capacity containers with items.
 
-Method: linear grouping. Large lengths are rounded up within groups of equal cardinality, containers
-are planned over these few sizes (best-filling configurations by exact bounded knapsack, each used as
-often as the counts allow), actual documents are put in for the planned sizes, and small ones go
-best-fit into what is left.
+Method: linear grouping. Large lengths are rounded up within groups of equal cardinality; over these few sizes the
+best mix of configurations is found by linear programming (column generation, with a knapsack for the next
+configuration); it is rounded down, actual documents are put in for the planned sizes, the last place of a container
+going to the largest document that still fits, what is left over is planned one container at a time, and small
+documents go best-fit into the gaps.
 
 * Token counts are made once and kept; texts are never shuffled. Documents are spread over shards of
   about ``SHARD`` items by hash, and each shard and capacity is packed by itself: a shard holds
@@ -21,6 +22,7 @@ import bisect
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +32,9 @@ from ..runtime import cut
 #: Where the public tokenizer's ranks lie; a parameter everywhere below.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Items of a shard, groups of equal cardinality, and the part of a capacity from which a length is large.
-SHARD, GROUPS, LARGE = 8192, 600, 0.1
+SHARD, GROUPS, LARGE = 8192, 40, 0.1
+#: Units of a capacity in which the linear program measures sizes, its steps at most, and groups of the rest.
+UNITS, STEPS, FINE = 512, 400, 600
 
 
 @lru_cache(maxsize=2)
@@ -57,8 +61,84 @@ def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ra
     return slim.mapInPandas(count, f"doc_id {kind}, tokens int")
 
 
-def plan_large(sizes: list[int], capacity: int, groups: int = GROUPS) -> list[list[int]]:
-    """Containers for large items: lists of positions in ``sizes``, which are in descending order."""
+def best_configurations(sizes: np.ndarray, counts: np.ndarray, units: int) -> list[tuple[np.ndarray, float]]:
+    """The cheapest mix of configurations that covers ``counts`` items of the ``sizes``: how many of each size, how often.
+
+    The program's columns are generated: under the prices of the present basis the most valuable configuration is
+    found by a knapsack, built up one item at a time, and enters the basis if it is worth more than a container.
+    """
+    base = np.diag((units // sizes).astype(float))
+    at = np.arange(units + 1)[None, :] - sizes[:, None]
+    at[at < 0] = units + 1  # no room
+    used = counts.astype(float)
+    for _ in range(STEPS):
+        inverse = np.linalg.inv(base)
+        used, prices = inverse @ counts, inverse.sum(0)
+        best, layers = np.append(np.zeros(units + 1), -np.inf), []
+        for _ in range(units // int(sizes.min())):
+            tried = best[at] + prices[:, None]
+            last = tried.argmax(0)
+            value = tried[last, np.arange(units + 1)]
+            more = value > best[:-1] + 1e-12
+            if not more.any():
+                break
+            layers.append((last, more))
+            best = np.append(np.where(more, value, best[:-1]), -np.inf)
+        room = int(best[:-1].argmax())
+        if best[room] <= 1 + 1e-6:
+            break
+        column = np.zeros(len(sizes))
+        for last, more in layers[::-1]:
+            if more[room]:
+                column[last[room]] += 1
+                room -= sizes[last[room]]
+        change = inverse @ column
+        ratio = np.where(change > 1e-9, used / np.maximum(change, 1e-9), np.inf)
+        base[:, int(ratio.argmin())] = column
+    return list(zip(base.T.astype(int), np.maximum(used, 0.0)))
+
+
+def plan_groups(sizes: list[int], capacity: int, groups: int = GROUPS) -> tuple[list[list[int]], list[int]]:
+    """Containers for large items by the best configurations over few sizes, and the items left over.
+
+    Items are positions in ``sizes``, which are in descending order.
+    """
+    if not sizes:
+        return [], []
+    units, step = min(capacity, UNITS), max(1, -(-len(sizes) // groups))
+    by: dict[int, list[int]] = {}
+    for i in range(0, len(sizes), step):  # a group is as large as its largest item, in whole units
+        by.setdefault(-(-sizes[i] * units // capacity), []).extend(range(i, min(i + step, len(sizes))))
+    rounded = sorted(by, reverse=True)
+    stock = [[(sizes[i], i) for i in by[s]][::-1] for s in rounded]  # ascending
+    mix = best_configurations(np.array(rounded), np.array([len(x) for x in stock], dtype=float), units)
+
+    def largest(gap: int) -> tuple[int, int] | None:
+        for x in stock:
+            if x and x[0][0] <= gap:
+                return x.pop(bisect.bisect_right(x, (gap, len(sizes))) - 1)
+        return None
+
+    out: list[list[int]] = []
+    for column, times in sorted(mix, key=lambda m: int(np.flatnonzero(m[0])[0])):  # those with the largest sizes first
+        places = [int(k) for k in np.flatnonzero(column) for _ in range(column[k])]
+        for _ in range(int(times + 1e-9)):
+            if any(len(stock[k]) < column[k] for k in set(places)):
+                break
+            box = [stock[k].pop() for k in places[:-1]]
+            gap = capacity - sum(size for size, _ in box)
+            while (one := largest(gap)) is not None:
+                gap -= one[0]
+                box.append(one)
+            out.append([i for _, i in box])
+    return out, sorted(i for x in stock for _, i in x)
+
+
+def plan_large(sizes: list[int], capacity: int, groups: int = FINE) -> list[list[int]]:
+    """Containers for the items left over, one configuration at a time: the largest, with the best filling of the rest.
+
+    Items are positions in ``sizes``, which are in descending order.
+    """
     if not sizes:
         return []
     step = max(1, -(-len(sizes) // groups))
@@ -102,7 +182,9 @@ def pack(sizes: list[int], capacity: int, groups: int = GROUPS, large: float = L
     home = [0] * len(sizes)
     gaps: list[tuple[int, int]] = []
     n = 0
-    for box in plan_large([sizes[i] for i in big], capacity, groups):
+    planned, over = plan_groups([sizes[i] for i in big], capacity, groups)
+    rest = plan_large([sizes[big[k]] for k in over], capacity)
+    for box in planned + [[over[k] for k in b] for b in rest]:
         for k in box:
             home[big[k]] = n
         gaps.append((capacity - sum(sizes[big[k]] for k in box), n))
@@ -128,9 +210,10 @@ def fill_containers(counts: DataFrame, specs: DataFrame, shard_items: int = SHAR
     kind = counts.schema["doc_id"].dataType.simpleString()
     counts = cut(counts, "tokens")
     shards = max(1, -(-counts.count() // shard_items))
+    kinds = specs.schema["spec_id"].dataType.simpleString()
     caps = specs.where("spec_id IS NOT NULL AND capacity_tokens >= 1").select("spec_id", "capacity_tokens").distinct()
     sets = caps.orderBy("spec_id", "capacity_tokens").collect()  # the table of capacities is small and fixed
-    each = F.array(*[F.struct(F.lit(r["spec_id"]).alias("spec_id"), F.lit(r["capacity_tokens"]).alias("cap")) for r in sets]) if sets else F.array().cast("array<struct<spec_id:int,cap:int>>")
+    each = F.array(*[F.struct(F.lit(r["spec_id"]).alias("spec_id"), F.lit(r["capacity_tokens"]).alias("cap")) for r in sets]) if sets else F.array().cast(f"array<struct<spec_id:{kinds},cap:int>>")
     items = counts.select("doc_id", "tokens", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), F.explode(each).alias("x")).select("doc_id", "tokens", "shard", "x.spec_id", "x.cap")
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -141,19 +224,19 @@ def fill_containers(counts: DataFrame, specs: DataFrame, shard_items: int = SHAR
         for d, t in zip(pdf["doc_id"], pdf["tokens"]):
             whole = t // cap if t > cap else 0
             for k in range(whole):
-                rows.append((f"{shard}-f{n}", d, k * cap, (k + 1) * cap))
+                rows.append((f"{cap}-{shard}-f{n}", d, k * cap, (k + 1) * cap))
                 n += 1
             if t - whole * cap or not whole:
                 ids.append(d)
                 starts.append(whole * cap)
                 sizes.append(int(t - whole * cap))
         for d, a, s, box in zip(ids, starts, sizes, pack(sizes, cap)):
-            rows.append((f"{shard}-{box}", d, a, a + s))
+            rows.append((f"{cap}-{shard}-{box}", d, a, a + s))
         out = pd.DataFrame(rows, columns=["container", "doc_id", "token_from", "token_to"])
         out.insert(0, "spec_id", pdf["spec_id"].iloc[0])
         return out
 
-    return items.groupBy("spec_id", "cap", "shard").applyInPandas(fill, f"spec_id int, container string, doc_id {kind}, token_from int, token_to int")
+    return items.groupBy("spec_id", "cap", "shard").applyInPandas(fill, f"spec_id {kinds}, container string, doc_id {kind}, token_from int, token_to int")
 
 
 def fill_report(filled: DataFrame, specs: DataFrame) -> DataFrame:

@@ -202,6 +202,23 @@ def test_pack(cap, n):
         assert sum(sizes) / (len(use) * cap) > 0.95
 
 
+def test_best_configurations_are_optimal():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        sizes = np.array(sorted(rng.choice(np.arange(6, 30), 4, replace=False))[::-1])
+        counts = rng.integers(1, 40, 4).astype(float)
+        mix = B.best_configurations(sizes, counts, 30)
+        assert np.allclose(sum(c * t for c, t in mix), counts) and all(c @ sizes <= 30 for c, _ in mix)
+        # Optimal: under the prices of the basis no configuration is worth more than a container.
+        prices = np.linalg.inv(np.array([c for c, _ in mix], dtype=float).T).sum(0)
+        every = (c for c in itertools.product(range(6), repeat=4) if np.dot(c, sizes) <= 30)
+        assert max(np.dot(c, prices) for c in every) <= 1 + 1e-5
+
+
 def test_containers(spark):
     rng = random.Random(9)
     counts = [(k, rng.choice([0, 1, 5, 40, 100, 101, 250, 999])) for k in range(400)]
