@@ -3,12 +3,13 @@
 Method: suspect words are mapped to what they look like, grouped in SQL under an accent-sensitive
 Unicode collation, one canonical member is chosen per equivalence class, and it is joined back.
 
-* Only words that hold a suspect character leave the scan (JVM regular expressions); they are reduced
-  to distinct values before anything is shuffled, so hot words cost one row per partition.
-* A class is the set of words with equal look under ``UNICODE`` collation (case- and
-  accent-sensitive, blind to how a character is encoded). Its canonical member is the one already in
-  consistent form, else the mapped value itself, which is added to its class as a virtual member; ties
-  go to the smallest byte string, so the choice does not depend on the order of rows.
+* Only texts that hold a suspect character leave the scan (JVM regular expressions); their words are reduced to
+  distinct values before anything is shuffled, so hot words cost one row per partition.
+* A class is the set of words with equal look under ``UNICODE`` collation (case- and accent-sensitive, blind to how a
+  character is encoded), plain words among them. The collation takes equal digits of all scripts for one; they
+  look different, so the digits must agree too. The canonical member is the one that stands in consistent form in
+  the texts, else the mapped value itself as a virtual member; ties go to the smallest byte string, so the choice
+  does not depend on the order of rows.
 * Joining back is a left join on the word; the dictionary is broadcast only if Spark measures it small.
 
 Edge cases: null and empty texts are in consistent form; repeated rows and ties change nothing; an
@@ -43,19 +44,22 @@ def word_classes(words: DataFrame) -> DataFrame:
     ``words`` has a column ``word``; nulls are left out.
     """
     spark = words.sparkSession
-    seen = words.where("word IS NOT NULL").select("word").distinct().withColumn("look", _look("word"))
+    look = F.coalesce(_look(F.when(F.col("word").rlike(SUSPECT), F.col("word"))), F.col("word"))
+    seen = words.where("word IS NOT NULL").select("word").distinct().withColumn("look", look)
     name = f"rostire_words_{uuid.uuid4().hex}"
     cut(seen, "words").createOrReplaceTempView(name)
-    return spark.sql(f"""
+    classes = spark.sql(f"""
         WITH classes AS (
-            SELECT word, look, look COLLATE UNICODE AS class FROM {name}
+            SELECT word, look, look COLLATE UNICODE AS class, regexp_replace(look, '[^\\\\p{{N}}]', '') AS digits FROM {name}
         ), canon AS (
-            SELECT class, coalesce(min(CASE WHEN word = look THEN word END), min(look)) AS canonical
-            FROM classes GROUP BY class
+            SELECT class, digits, coalesce(min(CASE WHEN word = look THEN word END), min(look)) AS canonical
+            FROM classes GROUP BY class, digits
         )
         SELECT m.word, c.canonical
-        FROM classes m JOIN canon c ON m.class = c.class
+        FROM classes m JOIN canon c ON m.class = c.class AND m.digits = c.digits
         WHERE m.word <> c.canonical""")
+    spark.catalog.dropTempView(name)  # the plan holds the table itself
+    return classes
 
 
 def text_fields(df: DataFrame, key: str, fields: list[str], tbl: str) -> DataFrame:
@@ -69,9 +73,14 @@ def suspect_fields(df: DataFrame, key: str, fields: list[str], tbl: str) -> Data
     return text_fields(df, key, fields, tbl).where(F.col("value").rlike(SUSPECT))
 
 
+def _words() -> Column:
+    """The words of ``value``."""
+    return F.regexp_extract_all("value", F.lit(f"({SPELT})"), F.lit(1))
+
+
 def _suspect_words() -> Column:
     """The words with a suspect character in ``value``."""
-    return F.filter(F.regexp_extract_all("value", F.lit(f"({SPELT})"), F.lit(1)), lambda w: w.rlike(SUSPECT))
+    return F.filter(_words(), lambda w: w.rlike(SUSPECT))
 
 
 def inconsistent_fields(fields: DataFrame) -> DataFrame:
@@ -86,7 +95,7 @@ def inconsistent_fields(fields: DataFrame) -> DataFrame:
         "tbl", "rec_key", "field_name", F.col("value").rlike(ODD).alias("odd"),
         F.explode_outer(_suspect_words()).alias("word"),
     )
-    classes = word_classes(words)
+    classes = word_classes(fields.select(F.explode(_words()).alias("word")))
     hit = (
         words.join(classes, "word", "left")
         .where("odd OR canonical IS NOT NULL")
@@ -112,6 +121,6 @@ def in_consistent_form(fields: DataFrame) -> DataFrame:
     fields = cut(fields.distinct().withColumn("suspect", F.coalesce(F.col("value").rlike(SUSPECT), F.lit(False))), "fields")
     own = ["tbl", "rec_key", "field_name", "value"]
     words = fields.where("suspect").select(*own, F.explode_outer(F.array_distinct(_suspect_words())).alias("word"))
-    swaps = words.join(word_classes(words), "word", "left").groupBy(*own).agg(F.collect_list(F.when(F.col("canonical").isNotNull(), F.struct("word", "canonical"))).alias("swap"))
+    swaps = words.join(word_classes(fields.where("suspect").select(F.explode(_words()).alias("word"))), "word", "left").groupBy(*own).agg(F.collect_list(F.when(F.col("canonical").isNotNull(), F.struct("word", "canonical"))).alias("swap"))
     formed = swaps.select(*own[:3], _rebuilt("value", "swap.word", "swap.canonical").alias("value"))
     return fields.where("NOT suspect").select(*own).unionByName(formed).distinct()

@@ -282,3 +282,13 @@ def test_sentences_without_marks_or_spaces_between_words():
         rows.append((text, spans))
     model = S.train(rows[:400])
     assert sum(model.spans(t) == b for t, b in rows[400:]) / 200 > 0.95
+
+
+def test_digits_of_other_scripts_are_no_look_alikes(spark):
+    rows = [("a", "preț १२ lei"), ("b", "preț １２ lei"), ("c", "٣ mere"), ("d", "３ mere"), ("e", "३ mere"), ("f", "merge 3"), ("g", "ｍｅｒｇｅ café")]
+    fields = L.text_fields(spark.createDataFrame(rows, "id string, text string"), "id", ["text"], "t")
+    got = {r["rec_key"]: r["value"] for r in L.in_consistent_form(fields).collect()}
+    assert got == {"a": "preț १२ lei", "b": "preț 12 lei", "c": "٣ mere", "d": "3 mere", "e": "३ mere", "f": "merge 3", "g": "merge café"}
+    wrong = L.inconsistent_fields(L.suspect_fields(spark.createDataFrame(rows, "id string, text string"), "id", ["text"], "t"))
+    assert {r["rec_key"] for r in wrong.collect()} == {"b", "d", "g"}
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("rostire_words_")]
