@@ -125,8 +125,50 @@ def room_tone(x: np.ndarray, level_db: float = -70.0, seed: int = 7) -> np.ndarr
     return (x + np.random.default_rng(seed).standard_normal(len(x)) * 10 ** (level_db / 20)).astype(np.float32)
 
 
-def loudness(x: np.ndarray, target_db: float = -23.0) -> np.ndarray:
-    """Signal at a target RMS level (156); silence stays."""
+# Fixed values of ITU-R BS.1770: the two stages of the weighting (gain in decibels, quality, frequency), the offset, and
+# length, step and gates of the blocks.
+SHELF, ROLL_OFF = (4.0, 1 / np.sqrt(2), 1500.0), (0.0, 0.5, 38.0)
+OFFSET, BLOCK, STEP, SILENT, QUIET = -0.691, 0.4, 0.1, -70.0, -10.0
+
+
+def _weighting(rate: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sections of the loudness weighting: a high shelf and a high pass."""
+    gain, q, f = SHELF
+    w, g = 2 * np.pi * f / rate, 10 ** (gain / 40)
+    c, r = np.cos(w), 2 * np.sqrt(g) * np.sin(w) / (2 * q)
+    a0 = (g + 1) - (g - 1) * c + r
+    shelf = (g * np.array([(g + 1) + (g - 1) * c + r, -2 * ((g - 1) + (g + 1) * c), (g + 1) + (g - 1) * c - r]) / a0, np.array([2 * ((g - 1) - (g + 1) * c), (g + 1) - (g - 1) * c - r]) / a0)
+    _, q, f = ROLL_OFF
+    w = 2 * np.pi * f / rate
+    c, r = np.cos(w), np.sin(w) / (2 * q)
+    high = (np.array([(1 + c) / 2, -(1 + c), (1 + c) / 2]) / (1 + r), np.array([-2 * c, 1 - r]) / (1 + r))
+    return [shelf, high]
+
+
+def lufs(x: np.ndarray, rate: int) -> float:
+    """Integrated loudness of a mono signal, gated; minus infinity for silence and for less than a block."""
+    n, step = int(BLOCK * rate), int(STEP * rate)
+    if len(x) < n or not step:
+        return -np.inf
+    y = x.astype(np.float64)
+    for b, a in _weighting(rate):
+        y = _section(y, b, a)
+    power = np.concatenate([[0.0], np.cumsum(y * y)])
+    at = np.arange(0, len(x) - n + 1, step)
+    mean = np.maximum(power[at + n] - power[at], 0.0) / n
+    level = OFFSET + 10 * np.log10(np.maximum(mean, 1e-20))
+    loud = level > SILENT
+    if not loud.any():
+        return -np.inf
+    loud &= level > OFFSET + 10 * np.log10(mean[loud].mean()) + QUIET
+    return float(OFFSET + 10 * np.log10(mean[loud].mean()))
+
+
+def loudness(x: np.ndarray, target_db: float = -23.0, rate: int | None = None) -> np.ndarray:
+    """Signal at a target loudness in LUFS (156); by its RMS level without a rate or where it is too short; silence stays."""
+    own = lufs(x, rate) if rate else -np.inf
+    if np.isfinite(own):
+        return (x * 10 ** ((target_db - own) / 20)).astype(np.float32)
     rms = float(np.sqrt(np.mean(x.astype(np.float64) ** 2))) if len(x) else 0.0
     return x if rms < 1e-9 else (x * (10 ** (target_db / 20) / rms)).astype(np.float32)
 
@@ -140,7 +182,7 @@ def peak_limit(x: np.ndarray, peak: float = 0.97) -> np.ndarray:
 def finish(x: np.ndarray, rate: int, cutoff: float = 60.0, mix: float = 0.05, tone_db: float = -70.0, target_db: float = -23.0, peak: float = 0.97, seed: int = 7) -> np.ndarray:
     """The chain: high-pass, trim, reverb, tone, loudness, limit (158)."""
     y = trim_silence(high_pass(x, rate, cutoff), rate)
-    return peak_limit(loudness(room_tone(reverb(y, rate, mix, seed=seed), tone_db, seed), target_db), peak)
+    return peak_limit(loudness(room_tone(reverb(y, rate, mix, seed=seed), tone_db, seed), target_db, rate), peak)
 
 
 def finished(signal: Column, rate: Column, **kw) -> Column:

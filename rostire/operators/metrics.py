@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .corpus import numbered
+from .lexicon import LABELS
 
 
 def confusion(df: DataFrame, gold: str, predicted: str) -> DataFrame:
@@ -149,10 +150,23 @@ def adopt(new_f1: float, old_f1: float, new_brier: float, gain: float = 0.03, mo
     return True, "adopted"
 
 
-def train_text_classifier(df: DataFrame, text: str, label: str, features: int = 1500):
+def rule_features(sentences: Column) -> Column:
+    """What the emotion layer says of a text's first sentence, as numbers (151).
+
+    The distribution over the labels but neutral, valence, arousal, negation, and one number for each sentence type.
+    """
+    s = F.get(sentences, F.lit(0))
+    e = s["emotion"]
+    given = lambda c, d: F.coalesce(c.cast("double"), F.lit(d))
+    negated = F.exists(s["tokens"], lambda t: F.coalesce(F.try_element_at(t["feats"], F.lit("Polarity")) == "Neg", F.lit(False)))
+    kinds = [given((s["sentence_type"] == k).cast("int"), 0.0) for k in ("declarative", "interrogative", "exclamative", "imperative", "incomplete")]
+    return F.array(*[given(F.try_element_at(e["distribution"], F.lit(k)), 0.0) for k in LABELS if k != "neutral"], given(e["valence"], 0.5), given(e["arousal"], 0.5), given(negated.cast("int"), 0.0), *kinds)
+
+
+def train_text_classifier(df: DataFrame, text: str, label: str, features: int = 1500, rules: str | None = None):
     """TF-IDF of word 1- and 2-grams with class-balanced logistic regression (151).
 
-    Expects a ``text`` and a ``label`` column; returns the fitted ``pyspark.ml`` pipeline model, whose
+    ``rules`` is a column with a vector of further features. Expects a ``text`` and a ``label`` column; returns the fitted ``pyspark.ml`` pipeline model, whose
     ``predicted`` column holds labels.
     """
     from pyspark.ml import Pipeline
@@ -166,7 +180,7 @@ def train_text_classifier(df: DataFrame, text: str, label: str, features: int =
     stages = [
         index, RegexTokenizer(inputCol=text, outputCol="_w", pattern=r"(?U)\w+", gaps=False), NGram(n=2, inputCol="_w", outputCol="_b"),
         CountVectorizer(inputCol="_w", outputCol="_cw", vocabSize=features), CountVectorizer(inputCol="_b", outputCol="_cb", vocabSize=features),
-        VectorAssembler(inputCols=["_cw", "_cb"], outputCol="_c"), IDF(inputCol="_c", outputCol="_x"),
+        VectorAssembler(inputCols=["_cw", "_cb"], outputCol="_c"), IDF(inputCol="_c", outputCol="_t"), VectorAssembler(inputCols=["_t", *([rules] if rules else [])], outputCol="_x"),
         LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="weight", maxIter=30, regParam=0.01),
         IndexToString(inputCol="prediction", outputCol="predicted", labels=index.labels),
     ]

@@ -6,6 +6,7 @@ import os
 import uuid
 from collections.abc import Callable
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -792,10 +793,11 @@ def boundary_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def emotion_classifier(spark: SparkSession, sf: str) -> DataFrame:
-    """TF-IDF classifier on four fifths of the rows, scored on the rest (133, 134, 141, 151)."""
+    """Classifier on TF-IDF and the emotion layer's features, fitted on four fifths of the rows, scored on the rest (133, 134, 141, 151)."""
     rows = _ev(spark, sf, "text", "text_register").where("text IS NOT NULL AND text_register IS NOT NULL").select("id", "text", F.lower(F.trim("text_register")).alias("label"))
-    parts = cut(corpus.stratified_split(corpus.common_labels(rows, "label"), "label", "id"), "parts")
-    model = metrics.train_text_classifier(parts.where("part = 'train'"), "text", "label")
+    said = process(_once(rows, "id"), {"include": ["emotion"]}, id_col="id").select("id", array_to_vector(metrics.rule_features(F.col("sentences"))).alias("rules"))
+    parts = cut(corpus.stratified_split(corpus.common_labels(rows, "label"), "label", "id").join(said, "id"), "parts")
+    model = metrics.train_text_classifier(parts.where("part = 'train'"), "text", "label", rules="rules")
     return metrics.label_scores(model.transform(parts.where("part = 'heldout'")), "label", "predicted")
 
 

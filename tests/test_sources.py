@@ -203,3 +203,17 @@ def test_joined_and_resampled():
     x = np.sin(2 * np.pi * 100 * t).astype(np.float32)
     y = audio.resampled(x, 8000, 16000)
     assert len(y) == 1600 and np.abs(y[::2] - x).max() < 1e-3 and len(audio.resampled(x, 8000, 4000)) == 400
+
+
+def test_loudness_follows_the_standard():
+    import numpy as np
+
+    rate = 48000
+    t = np.arange(4 * rate) / rate
+    x = np.sin(2 * np.pi * 997 * t).astype(np.float32)
+    assert abs(audio.lufs(x, rate) + 3.01) < 0.1 and abs(audio.lufs(x / 10, rate) + 23.01) < 0.1
+    low = np.sin(2 * np.pi * 20 * t).astype(np.float32)
+    assert audio.lufs(low, rate) < -9 and audio.lufs(x[:100], rate) == -np.inf and audio.lufs(np.zeros(rate), rate) == -np.inf
+    gated = np.concatenate([x, np.zeros(8 * rate, dtype=np.float32)])
+    assert abs(audio.lufs(gated, rate) + 3.01) < 0.4
+    assert abs(audio.lufs(audio.loudness(x, -20.0, rate), rate) + 20) < 0.01
